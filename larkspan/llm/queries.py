@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gif
+from . import gif, hmm, langid, nbsvm
 
-QUERIES = {"op10_gif": gif.op10_gif}
+QUERIES = {"op2_langid": langid.op2_langid, "op4_hmm": hmm.op4_hmm, "op5_quality": nbsvm.op5_quality, "op10_gif": gif.op10_gif}
 ORACLE: dict[str, str] = {}
