@@ -103,3 +103,18 @@ def bucket_rank(df: DataFrame, keys: list[str], order: Column, rows_per_bucket:
     o = offsets.alias("o")
     out = rows.join(o, [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "_b"]])
     return out.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r._i") + F.col("o._first")).cast("long").alias("rank"))
+
+
+BLOOM_BITS = 1 << 24
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (spooled, with doc_id) joined with the text of each, spooled.
+
+    A bitmap over hashed ids, of bounded size (BLOOM_BITS / 64 rows), keeps most other texts out of the shuffle; the join decides.
+    """
+    place = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit(BLOOM_BITS - 1))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    bitmap = spool(ids.select(word.alias("_word"), bit.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits")))
+    near = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return spool(near.select("doc_id", "text").join(ids, "doc_id"))

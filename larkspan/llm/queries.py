@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gif, hmm, jaccard, langid, mixing, nbsvm, packing, rules
+from . import gif, hmm, jaccard, langid, mixing, nbsvm, packing, passages, rules
 
-QUERIES = {"op1_mixing": mixing.op1_mixing, "op3_rules": rules.op3_rules, "op2_langid": langid.op2_langid, "op4_hmm": hmm.op4_hmm, "op5_quality": nbsvm.op5_quality, "op6_packing": packing.op6_packing, "op7_jaccard": jaccard.op7_jaccard, "op10_gif": gif.op10_gif}
+QUERIES = {"op1_mixing": mixing.op1_mixing, "op3_rules": rules.op3_rules, "op2_langid": langid.op2_langid, "op4_hmm": hmm.op4_hmm, "op5_quality": nbsvm.op5_quality, "op6_packing": packing.op6_packing, "op7_jaccard": jaccard.op7_jaccard, "op9_chaining": passages.op9_chaining, "op10_gif": gif.op10_gif}
 ORACLE: dict[str, str] = {}
