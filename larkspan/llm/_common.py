@@ -5,7 +5,10 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,13 +111,28 @@ def bucket_rank(df: DataFrame, keys: list[str], order: Column, rows_per_bucket:
 BLOOM_BITS = 1 << 24
 
 
+def _zip_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=6).compress
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t or b"") for t in texts], pa.binary())], names=["doc_id", "z"])
+
+
+def unzip(texts: list[bytes]) -> list[bytes]:
+    """UTF-8 texts of a column `z`."""
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(z) for z in texts]
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """ids (spooled, with doc_id) joined with the text of each, spooled.
+    """ids (spooled, with doc_id) joined with the whole text of each, compressed for the shuffles to come as `z`; spooled.
 
     A bitmap over hashed ids, of bounded size (BLOOM_BITS / 64 rows), keeps most other texts out of the shuffle; the join decides.
     """
-    place = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit(BLOOM_BITS - 1))
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(BLOOM_BITS - 1))
     word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     bitmap = spool(ids.select(word.alias("_word"), bit.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits")))
-    near = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
-    return spool(near.select("doc_id", "text").join(ids, "doc_id"))
+    near = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    zipped = near.select("doc_id", "text").mapInArrow(_zip_texts, f"doc_id {kind}, z binary")
+    return spool(zipped.join(ids, "doc_id"))

@@ -248,7 +248,7 @@ def _aligned(min_words: int, identity: float):  # noqa: ANN202
             if doc in cache:
                 cache.move_to_end(doc)
                 return cache[doc]
-            cache[doc] = h = word_hashes(text)
+            cache[doc] = h = word_hashes(c.unzip([text])[0])
             weight += len(h)
             while weight > 2_000_000 and len(cache) > 2:
                 weight -= len(cache.popitem(last=False)[1])
@@ -257,7 +257,7 @@ def _aligned(min_words: int, identity: float):  # noqa: ANN202
         names = ["doc_id", "start_word", "end_word", "source_doc_id", "source_start", "source_end", "matched_words"]
         for batch in batches:
             rows = []
-            texts = [batch.column(i).cast(pa.binary()).to_pylist() for i in (5, 6)]
+            texts = [batch.column(i).to_pylist() for i in (5, 6)]
             for x, y, px, py, sizes, tx, ty in zip(*(batch.column(i).to_pylist() for i in range(5)), *texts, strict=True):
                 hx, hy = hashes(x, tx), hashes(y, ty)
                 found: list[tuple[int, int, int, int, int]] = []
@@ -287,8 +287,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     chained = c.spool(pairs.mapInArrow(_chain_pairs, "x long, y long, px array<int>, py array<int>, sizes array<int>"))
     ids = c.spool(chained.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
     texts = c.texts_of(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).dropDuplicates(["doc_id"])
-    texts = c.spool(texts)
-    tx, ty = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
+    tx, ty = texts.select(F.col("doc_id").alias("x"), F.col("z").alias("tx")), texts.select(F.col("doc_id").alias("y"), F.col("z").alias("ty"))
     rows = chained.join(tx, "x").join(ty, "y").select("x", "y", "px", "py", "sizes", "tx", "ty")
     return rows.mapInArrow(_aligned(min_words, identity), "doc_id long, start_word long, end_word long, source_doc_id long, source_start long, source_end long, matched_words long")
 
