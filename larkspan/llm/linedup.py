@@ -58,6 +58,7 @@ def repeats(docs: DataFrame, min_lines: int = 2, text_col: str = "text") -> Data
     lines = docs.select("doc_id", _doc_key(text_col).alias("d"), F.posexplode(_worded(F.col(text_col))).alias("i", "line")).select("doc_id", "d", "i", F.col("line.h").alias("h"))
     lines = c.spool(lines.distinct())
     now = _ranked(lines, ["h"])
+    c.drop_spool(lines)
     depth, found = 1, None
     while now.limit(1).count():
         if depth >= min_lines:
@@ -104,7 +105,25 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup does to every document: lines, deleted lines, maximal repeated runs, and a digest of the text that is left."""
     out = dedup_lines(c.documents(spark, sf_dir).select("doc_id", "text"))
     longest = F.coalesce(F.array_max(F.transform("_runs", lambda r: r["length"])), F.lit(0)).cast("long")
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_gone").alias("deleted_lines"), F.size("_runs").cast("long").alias("n_runs"), longest.alias("longest_run"), F.col("_runs").alias("runs"), F.coalesce(F.length("_text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_gone").alias("deleted_lines"), F.size("_runs").cast("long").alias("n_runs"), longest.alias("longest_run"), F.coalesce(F.length("_text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The same result from windows of two lines: what begins a window that occurs earlier is deleted with the line after it.
+OP8_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS raw FROM documents),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) AS i FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+g AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM w),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, i) AS k FROM g WHERE nxt IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM f WHERE k > 1 UNION ALL SELECT doc_id, i + 1 FROM f WHERE k > 1)),
+isl AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM gone),
+runs AS (SELECT doc_id, grp, count(*) AS n FROM isl GROUP BY 1, 2),
+per AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run, sum(n) AS deleted_lines FROM runs GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY 1),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.raw) AS t FROM l LEFT JOIN w ON l.doc_id = w.doc_id AND l.raw = w.raw LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i WHERE gone.i IS NULL GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n_lines, 0) AS n_lines, CAST(coalesce(per.deleted_lines, 0) AS BIGINT) AS deleted_lines, coalesce(per.n_runs, 0) AS n_runs, coalesce(per.longest_run, 0) AS longest_run,
+length(coalesce(kept.t, '')) AS kept_chars, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
 
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:

@@ -73,3 +73,9 @@ def test_query_and_stage(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert linedup.dedup_lines(df).count() == 0
+
+
+def test_query_gives_the_rows_of_its_sql(spark):
+    from tests.oracle import differences
+
+    assert differences(spark, "/root/testdata/sf0.01", linedup.op8_lines, linedup.OP8_SQL) is None
