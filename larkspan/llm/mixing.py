@@ -12,7 +12,7 @@ that the words still owed to the source come out even, cell by cell from large t
 rank of a hash. So a source ends within one of its smallest documents of its target where the cells allow it.
 
 Defined results: null text has size 0; a null source is a source and sorts last; documents of size 0 are balanced like the
-others but add no words; an empty table gives an empty result; repeated rows are separate documents; working columns are
+others but add no words; an empty table gives an empty result; repeated rows are separate documents that are taken equally often; working columns are
 kept apart from the input's by a leading underscore. The sources' table (a row each) is metadata: it is sorted in one task.
 """
 
@@ -101,8 +101,8 @@ def _round_cells(cap: float) -> object:
 
 
 def keyed(df: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """df with `_h` (a hash of the row that breaks ties), `_k` (its source) and `_size` (its words)."""
-    row = F.xxhash64(*[F.col(f"`{x}`") for x in df.columns])
+    """df with `_h` (a hash of the document that breaks ties), `_k` (its source) and `_size` (its words)."""
+    row = F.xxhash64("doc_id", text_col, source_col)
     return df.withColumns({"_h": row, "_k": source_key(F.col(source_col)), "_size": c.n_words(F.col(text_col))})
 
 
@@ -140,7 +140,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with their own columns."""
+    """The documents of the mix, each as often as it is taken, with their own columns (any but those with the names used here)."""
     rows = keyed(docs)
     planned = plan(c.spool(rows.select("_h", "_k", "_size")), weights or WEIGHTS)
     taken = with_copies(rows, planned).where("_copies > 0")
