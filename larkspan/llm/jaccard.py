@@ -36,7 +36,6 @@ from ._words import shingles
 
 HOT = 1 << 20
 WINDOW = 4_000_000  # shingles among which repeats are noticed
-BLOOM_BITS = 1 << 24
 
 
 def _key(s: np.ndarray) -> int:
@@ -131,7 +130,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_group(work: Callable[[int, list[int], list[np.ndarray]], Iterator[tuple]], names: list[str]) -> Callable:
-    """Rows (g, x, text) sorted by g -> what `work` gives for each g, its keys and shingle sets."""
+    """Rows (g, x, z) sorted by g -> what `work` gives for each g, its keys and shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -143,7 +142,7 @@ def _by_group(work: Callable[[int, list[int], list[np.ndarray]], Iterator[tuple]
             if key in cache:
                 cache.move_to_end(key)
                 return cache[key]
-            cache[key] = s = shingles(text)
+            cache[key] = s = shingles(c.unzip([text])[0])
             weight += len(s)
             while weight > 2_000_000 and len(cache) > 1:
                 weight -= len(cache.popitem(last=False)[1])
@@ -160,7 +159,7 @@ def _by_group(work: Callable[[int, list[int], list[np.ndarray]], Iterator[tuple]
 
         group, rows = None, {}
         for batch in batches:
-            for g, x, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+            for g, x, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if g != group:
                     if rows:
                         done(group, rows)
@@ -223,18 +222,14 @@ def _ring(both: int, n: int, m: int) -> int:
 
 
 def _texts(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """x, text of the given keys (spooled). A bitmap of bounded size over the ids keeps most other texts out of the shuffle."""
+    """x, z: the compressed texts of the given keys."""
     ids = c.spool(keys.join(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key"))
-    place = F.xxhash64("doc_id").bitwiseAND(F.lit(BLOOM_BITS - 1))
-    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    bitmap = c.spool(ids.select(word.alias("_word"), bit.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits")))  # at most BLOOM_BITS / 64 rows
-    near = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("_word", word).join(F.broadcast(bitmap), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
-    return c.spool(near.select("doc_id", "text").join(ids, "doc_id").select(F.col("key").alias("x"), "text"))
+    return c.texts_of(docs, ids).select(F.col("key").alias("x"), "z")
 
 
 def _grouped(members: DataFrame, texts: DataFrame, work: Callable, names: list[str]) -> DataFrame:
     """members: g, x."""
-    rows = members.join(texts, "x").select("g", "x", "text").repartition("g").sortWithinPartitions("g")
+    rows = members.join(texts, "x").select("g", "x", "z").repartition("g").sortWithinPartitions("g")
     return rows.mapInArrow(_by_group(work, names), ", ".join(f"{n} long" for n in names))
 
 
@@ -247,13 +242,13 @@ def _to_pivot(members: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     pivots = plan.select("g", F.col("q").alias("x"), F.lit(1).cast("long").alias("is_q")).distinct()
 
     both = plan.select("g", "x", F.lit(0).cast("long").alias("is_q")).unionByName(pivots)
-    joined = both.join(texts, "x").select("g", "x", "text", "is_q").repartition("g").sortWithinPartitions("g", F.desc("is_q"))
+    joined = both.join(texts, "x").select("g", "x", "z", "is_q").repartition("g").sortWithinPartitions("g", F.desc("is_q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pivot = None
         for batch in batches:
             out = []
-            for g, x, text, is_q in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for g, x, text, is_q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), c.unzip(batch.column(2).to_pylist()), batch.column(3).to_pylist(), strict=True):
                 if g != group:
                     group, pivot = g, None
                 s = shingles(text)
@@ -277,9 +272,14 @@ def links(docs: DataFrame, sets: DataFrame, most: int = 512) -> DataFrame:
     prefixes = _prefixes(docs, hot[order], often["times"].to_numpy(np.int64)[order])
     stars = prefixes.repartition("s").sortWithinPartitions("s", "key").mapInArrow(_stars, "p long, x long")
     pairs = c.spool(stars.distinct())
+    sizes = pairs.groupBy("p").agg((F.count("*") + 1).alias("size"), F.min("x").alias("x"))
+    lengths = sets.where("n > 0").select("key", "n").distinct()
+    sizes = sizes.join(lengths.select(F.col("key").alias("p"), F.col("n").alias("_np")), "p").join(lengths.select(F.col("key").alias("x"), F.col("n").alias("_nx")), "x")
+    # a lone pair whose sizes differ by more than a quarter cannot be linked
+    sizes = c.spool(sizes.where((F.col("size") > 2) | (4 * F.least("_np", "_nx") >= 3 * F.greatest("_np", "_nx"))).select("p", "size"))
+    pairs = pairs.join(sizes.select("p"), "p")
     keys = c.spool(pairs.select(F.explode(F.array("p", "x")).alias("key")).distinct())
     texts = _texts(docs, sets, keys)
-    sizes = c.spool(pairs.groupBy("p").agg((F.count("*") + 1).alias("size")))
     members = pairs.unionByName(sizes.select("p", F.col("p").alias("x")))
     small = sizes.where(F.col("size") <= most).select("p")
     found = _grouped(members.join(small, "p").select(F.col("p").alias("g"), "x"), texts, _forest, ["u", "v"])
