@@ -82,6 +82,20 @@ def join_small(df: DataFrame, small: DataFrame, on: str | list[str], how: str =
     return df.join(small, on, how)
 
 
+def least_count(df: DataFrame, count: str, most: int) -> int:
+    """Least value of `count` (positive) at which not more than `most` rows have it or more; from a histogram of three digits, some ten thousand rows at most."""
+    n = F.col(count)
+    scale = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(n)) - 2, F.lit(0)))
+    total, cut = 0, None
+    rows = df.groupBy((F.floor(n / scale) * scale).cast("long").alias("edge")).agg(F.count("*").alias("rows")).collect()
+    for r in sorted(rows, key=lambda r: -r["edge"]):
+        total += r["rows"]
+        if total > most:
+            break
+        cut = r["edge"]
+    return cut if cut is not None else 1 << 62
+
+
 def bucket_rank(df: DataFrame, keys: list[str], order: Column, rows_per_bucket: int = 2000) -> DataFrame:
     """Add `rank` (0, 1, ...) within each key by `order`, a long column that is spread evenly over its 64 bits.
 

@@ -82,7 +82,7 @@ class Counts(NamedTuple):
 def count_words(texts: DataFrame, hot: int = 200_000, words: int = 1024, buckets: int = 256) -> Counts:
     table = c.spool(word_counts(texts))
     total, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = table.orderBy(F.desc("n"), "word").limit(hot).collect()
+    top = sorted(table.where(F.col("n") >= c.least_count(table, "n", hot)).collect(), key=lambda r: (-r.n, bytes(r.word)))  # `hot` rows at most
     symbols = Symbols(words, buckets)
     ranks = {}
     for r in top:

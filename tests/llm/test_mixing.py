@@ -82,3 +82,10 @@ def test_bucket_rank(spark):
     for k in (None, "a", "b"):
         own = sorted(h for x, h in rows if x == k)
         assert [got[k, h] for h in own] == list(range(300))
+
+
+def test_least_count(spark):
+    df = spark.createDataFrame([(n,) for n in [1] * 50 + [2] * 10 + [999, 1004, 1009, 20_000]], "n long")
+    for most, cut in ((3, 1000), (4, 999), (13, 999), (14, 2), (63, 2), (64, 1)):
+        assert c.least_count(df, "n", most) == cut
+    assert c.least_count(df, "n", 0) > 20_000 and c.least_count(df.limit(0), "n", 5) > 20_000
