@@ -4,8 +4,8 @@
 2. Anchors. Two sets are at a distance below 1 only if they share a shingle, so the pivots that tell points apart are the
    single shingles. With all shingles in one order (frequent ones last), sets within tau share one among their first
    n - ceil(3n/4) + 1: a set is replicated to these regions and no others.
-3. Document pivots. In every anchor's region the least point is the pivot; regions with one pivot become that pivot's
-   region, so a pair within tau still meets in at least one of them.
+3. Document pivots. An anchor's region is parted where sizes leave a gap that no link can bridge; the first point of each
+   part is its pivot, and parts with one pivot become that pivot's region, so a pair within tau meets in at least one.
 4. A region of at most `most` points is joined in one task. A larger one takes exact distances to its pivot, then to a
    second pivot; points fall into rings of width tau. By the triangle inequality only equal and neighbouring rings can be
    linked, and the innermost ring is linked through its pivot already. What is left is joined in blocks of bounded size, pair by pair.
@@ -83,14 +83,14 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, hot: np.ndarray, times: np.ndarray) -> DataFrame:
-    """s, key: each set's first shingles in the order (times, hash); a set comes once from each task."""
+    """s, n, key: each set's first shingles in the order (times, hash), with its size; a set comes once from each task."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, times = shared.value
         seen: set[int] = set()
         for batch in batches:
-            firsts, keys, counts = [], [], []
+            firsts, keys, counts, sizes = [], [], [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 s = shingles(text)
                 if not len(s) or (k := _key(s)) in seen:
@@ -106,23 +106,30 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, times: np.ndarray) -> DataFrame:
                 firsts.append(s[:q])
                 keys.append(k)
                 counts.append(q)
+                sizes.append(len(s))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts))], names=["s", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(np.repeat(np.array(keys, np.int64), counts))], names=["s", "n", "key"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, key long")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, n int, key long")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by s, key -> p, x: the least key of each s with each of its others."""
-    last_s = pivot = None
+    """Rows sorted by s, n, key -> p, x: the first key of each region with each of its others.
+
+    An anchor's region ends where the next size is more than a third above the last: no set on one side can be linked to
+    one on the other (the size is the distance from the empty set, by symmetric difference).
+    """
+    last = None  # s and n of the last row, and its region's pivot
     for batch in batches:
-        s, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        s, n, key = (batch.column(i).to_numpy() for i in range(3))
         if not len(s):
             continue
-        new = np.concatenate([[s[0] != last_s if last_s is not None else True], s[1:] != s[:-1]])
+        n = n.astype(np.int64)
+        first = last is None or s[0] != last[0] or 4 * last[1] < 3 * n[0]
+        new = np.concatenate([[first], (s[1:] != s[:-1]) | (4 * n[:-1] < 3 * n[1:])])
         start = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-        p = np.where(start < 0, pivot if pivot is not None else 0, key[np.maximum(start, 0)])
-        last_s, pivot = s[-1], p[-1]
+        p = np.where(start < 0, last[2] if last else 0, key[np.maximum(start, 0)])
+        last = (s[-1], n[-1], p[-1])
         other = p != key
         if other.any():
             pairs = np.unique(np.stack([p[other], key[other]], 1), axis=0)
@@ -270,14 +277,9 @@ def links(docs: DataFrame, sets: DataFrame, most: int = 512) -> DataFrame:
     hot = often["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     prefixes = _prefixes(docs, hot[order], often["times"].to_numpy(np.int64)[order])
-    stars = prefixes.repartition("s").sortWithinPartitions("s", "key").mapInArrow(_stars, "p long, x long")
+    stars = prefixes.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(_stars, "p long, x long")
     pairs = c.spool(stars.distinct())
-    sizes = pairs.groupBy("p").agg((F.count("*") + 1).alias("size"), F.min("x").alias("x"))
-    lengths = sets.where("n > 0").select("key", "n").distinct()
-    sizes = sizes.join(lengths.select(F.col("key").alias("p"), F.col("n").alias("_np")), "p").join(lengths.select(F.col("key").alias("x"), F.col("n").alias("_nx")), "x")
-    # a lone pair whose sizes differ by more than a quarter cannot be linked
-    sizes = c.spool(sizes.where((F.col("size") > 2) | (4 * F.least("_np", "_nx") >= 3 * F.greatest("_np", "_nx"))).select("p", "size"))
-    pairs = pairs.join(sizes.select("p"), "p")
+    sizes = c.spool(pairs.groupBy("p").agg((F.count("*") + 1).alias("size")))
     keys = c.spool(pairs.select(F.explode(F.array("p", "x")).alias("key")).distinct())
     texts = _texts(docs, sets, keys)
     members = pairs.unionByName(sizes.select("p", F.col("p").alias("x")))
@@ -328,4 +330,4 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those that are linked to one of a smaller id, repeated rows once; docs' own columns."""
     gone = near_duplicates(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
