@@ -84,7 +84,8 @@ def deleted_lines(docs: DataFrame, min_lines: int = 2, text_col: str = "text") -
 def dedup_lines(docs: DataFrame, min_lines: int = 2, text_col: str = "text") -> DataFrame:
     """docs with `_text` (without later copies), `_n_lines`, `_gone` (number), `_runs` (array of start, length), `_depth`."""
     gone = deleted_lines(docs, min_lines, text_col)
-    rows = docs.withColumn("_d", _doc_key(text_col)).join(gone.select(F.col("d").alias("_d"), F.col("gone").alias("_at"), F.col("depth").alias("_depth")), "_d", "left")
+    # deletions grow with the corpus: a merge join at every size
+    rows = docs.withColumn("_d", _doc_key(text_col)).join(gone.select(F.col("d").alias("_d"), F.col("gone").alias("_at"), F.col("depth").alias("_depth")).hint("merge"), "_d", "left")
     text, at = F.col(text_col), F.col("_at")
     lines, worded = _lines(text), _worded(text)
     let = lambda value, body: F.transform(F.array(value), body)[0]
