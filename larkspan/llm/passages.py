@@ -6,7 +6,7 @@ a seed in thousands of documents makes a link for each and no more. For every pa
 order in both, a chain's score being its seeds less a cost for the words skipped between them; a Fenwick tree over places
 in the second text finds the best predecessor. Chains are aligned on the words: gaps by longest common subsequence, ends by
 extension with an x-drop, so edited words do not end a passage. What has at least `min_words` words, of which `identity`
-match, is a repeated passage.
+match, is a repeated passage; a chain that misses the identity as a whole is split into its longest parts that reach it.
 
 Defined results: null texts and texts shorter than a seed have no passage; rows with a null id cannot be named and are left
 out; an id stands for one text (repeated rows of it count once); a passage repeated inside one document is found too, with
@@ -18,6 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +181,7 @@ def _common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
         return 0
     if len(a) == len(b) and (same := int((a == b).sum())) >= len(a) - 1:
         return same
+    a, b = a[np.isin(a, b)], b[np.isin(b, a)]  # other words are in no common subsequence
     row = np.zeros(len(b) + 1, np.int64)
     for w in a:
         step = np.where(b == w, row[:-1] + 1, row[1:])
@@ -218,24 +220,81 @@ def _extend(a: np.ndarray, b: np.ndarray, drop: int = DROP, ahead: int = 8) -> t
     return best[1], best[2], best[3]
 
 
-def align(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
-    """start and end in x, start and end in y, matching words of one chain."""
-    i, j = int(px[0]), int(py[0])
-    back = _extend(hx[:i][::-1], hy[:j][::-1])
-    start_x, start_y, matched = i - back[0], j - back[1], back[2]
-    end_x, end_y = i + k, j + k
-    matched += k
-    for i, j in zip(px[1:].tolist(), py[1:].tolist(), strict=True):
-        if i + k <= end_x or j + k <= end_y:
+def _runs(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """A chain as runs of equal words: starts and ends in x, in y, and the matching words up to each run's start and end, gaps by longest common subsequence."""
+    dx, dy = np.diff(px), np.diff(py)
+    skip = np.maximum(0, np.maximum(k - dx, k - dy))  # words of a seed that are in the alignment already
+    new = np.flatnonzero((dx + skip > k) | (dy + skip > k)) + 1
+    sx, sy = (np.concatenate([p[:1], p[new] + skip[new - 1]]) for p in (px, py))
+    ex, ey = (np.concatenate([p[new - 1], p[-1:]]) + k for p in (px, py))
+    gaps = [_common_subsequence(hx[a:b], hy[c_:d]) for a, b, c_, d in zip(ex[:-1].tolist(), sx[1:].tolist(), ey[:-1].tolist(), sy[1:].tolist(), strict=True)]
+    upto = np.cumsum(ex - sx + np.array([0, *gaps]))
+    return sx, ex, sy, ey, upto - (ex - sx), upto
+
+
+def align(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, min_words: int, identity: float, k: int = K) -> list[tuple[int, int, int, int, int]]:
+    """start and end in x, start and end in y, matching words of what one chain holds: all of it if it reaches `identity`, else its
+    longest parts between runs that do, longest first and apart from each other."""
+    sx, ex, sy, ey, before, upto = _runs(hx, hy, px, py, k)
+
+    def extended(i: int, j: int, found: list[tuple[int, int, int, int, int]]) -> tuple[tuple[int, int, int, int, int], ...]:
+        """Runs i to j with what extends them on both sides, on one side, on none; not into what is found already."""
+        a, b, u, v, m = int(sx[i]), int(ex[j]), int(sy[i]), int(ey[j]), int(upto[j] - before[i])
+        low_x, low_y = (min(s, max((f[n] for f in found if f[n] <= s), default=0)) for s, n in ((a, 1), (u, 3)))
+        top_x, top_y = (max(e, min((f[n] for f in found if f[n] >= e), default=len(h))) for e, n, h in ((b, 0, hx), (v, 2, hy)))
+        back, more = _extend(hx[low_x:a][::-1], hy[low_y:u][::-1]), _extend(hx[b:top_x], hy[v:top_y])
+        none = (0, 0, 0)
+        sides = sorted([(back, more), (back, none), (none, more), (none, none)], key=lambda s: -(s[0][0] + s[1][0]))
+        return tuple((a - p[0], b + q[0], u - p[1], v + q[1], m + p[2] + q[2]) for p, q in sides)
+
+    def same(g: tuple[int, int, int, int, int]) -> bool:
+        return g[4] >= identity * max(g[1] - g[0], g[3] - g[2]) - 1e-9
+
+    whole = extended(0, len(sx) - 1, [])
+    if whole[0][1] - whole[0][0] < min_words:
+        return []
+    if same(whole[0]):
+        return [whole[0]]
+    # runs i to j reach the identity where ends[:, j] >= starts[:, i]; behind `reach` no end can
+    starts = np.stack([before - identity * sx, before - identity * sy]) - 1e-9
+    ends = np.stack([upto - identity * ex, upto - identity * ey])
+
+    def farthest(i: int, limit: int) -> int:
+        while limit > i + 1:
+            low = max(i, limit - 256)
+            good = np.flatnonzero((ends[:, low:limit] >= starts[:, i : i + 1]).all(0))
+            if len(good):
+                return low + int(good[-1])
+            limit = low
+        return i
+
+    reach = np.maximum.accumulate(ends[:, ::-1], 1)[:, ::-1]
+    bound = [min(int(np.searchsorted(-reach[d], -starts[d, i], "right")) for d in (0, 1)) for i in range(len(sx))]
+    heap = []
+
+    def offer(i: int, limit: int) -> None:
+        j = farthest(i, limit)
+        heappush(heap, (int(sx[i] - ex[j]), i, j))
+
+    for i, limit in enumerate(bound):
+        offer(i, limit)
+    taken: list[tuple[int, int]] = []
+    found: list[tuple[int, int, int, int, int]] = []
+    while heap:
+        _, i, j = heappop(heap)
+        at = bisect_left(taken, (i + 1, -1))
+        if at and taken[at - 1][1] >= i:
+            continue
+        if at < len(taken) and taken[at][0] <= j:
+            offer(i, taken[at][0])
+            continue
+        taken.insert(at, (i, j))
+        if any(f[0] <= sx[i] and ex[j] <= f[1] and f[2] <= sy[i] and ey[j] <= f[3] for f in found):
             continue
-        skip = max(0, end_x - i, end_y - j)  # words of this seed that are in the alignment already
-        i, j = i + skip, j + skip
-        if i > end_x or j > end_y:
-            matched += _common_subsequence(hx[end_x:i], hy[end_y:j])
-        matched += k - skip
-        end_x, end_y = i + k - skip, j + k - skip
-    more = _extend(hx[end_x:], hy[end_y:])
-    return start_x, end_x + more[0], start_y, end_y + more[1], matched + more[2]
+        got = next((g for g in extended(i, j, found) if g[1] - g[0] >= min_words and same(g)), None)
+        if got:
+            found.append(got)
+    return found
 
 
 def _aligned(min_words: int, identity: float):  # noqa: ANN202
@@ -268,9 +327,7 @@ def _aligned(min_words: int, identity: float):  # noqa: ANN202
                     at += n
                     if any(s <= a[0] and a[-1] + K <= e and u <= b[0] and b[-1] + K <= v for s, e, u, v, _ in found):
                         continue  # an earlier chain's alignment holds this one
-                    got = align(hx, hy, a, b)
-                    if got[1] - got[0] >= min_words and got[4] >= identity * max(got[1] - got[0], got[3] - got[2]):
-                        found.append(got)
+                    found += align(hx, hy, a, b, min_words, identity)
                 rows += [(x, s, e, y, u, v, m) for s, e, u, v, m in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], names=names)

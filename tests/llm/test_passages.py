@@ -85,3 +85,30 @@ def test_query_finds_every_long_exact_repeat(spark):
     for r in p.op9_chaining(spark, "/root/testdata/sf0.01").collect():
         spans[r.doc_id].update(range(r.start_word, r.end_word))
     assert later and not [d for d, at in later.items() if not all(spans[d] >= set(range(i, i + 50)) for i in at)]
+
+
+def test_passages_on_both_sides_of_a_gap(spark):
+    """The chain bridges the gap and misses the identity as a whole; both exact passages are there nonetheless."""
+    rows, want = [], {}
+    for n, (size, gap, both) in enumerate([(60, 40, True), (60, 100, True), (60, 70, False), (100, 150, True), (300, 400, True), (300, 800, False)]):
+        one, two = words(size, 900 + n), words(size, 920 + n)
+        rows.append((2 * n, " ".join(words(20, 940 + n) + one + (words(gap, 960 + n) if both else []) + two)))
+        rows.append((2 * n + 1, " ".join(words(30, 980 + n) + one + words(gap, 1000 + n) + two)))
+        want[2 * n + 1] = {*range(30, 30 + size), *range(30 + size + gap, 30 + 2 * size + gap)}
+    got = defaultdict(list)
+    for r in p.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.source_doc_id == r.doc_id - 1 and r.matched_words >= 0.8 * max(r.end_word - r.start_word, r.source_end - r.source_start)
+        got[r.doc_id] += range(r.start_word, r.end_word)
+    assert set(got) == set(want) and all(len(v) == len(set(v)) and set(v) >= want[d] for d, v in got.items())
+    assert {d: set(v) for d, v in got.items()} == want
+
+
+def test_split_keeps_the_longest_part_that_reaches_the_identity():
+    """30 words, 10 others, 30 words reach it together; a tail of short runs pulls the whole chain below."""
+    one, two = words(30, 70), words(30, 71)
+    tail = [words(8, 80 + i) for i in range(12)]
+    x, y = (one + words(10, s) + two + [w for i, t in enumerate(tail) for w in words(9, s + 1 + i) + t] for s in (1100, 1200))
+    hx, hy = (word_hashes(" ".join(t).encode()) for t in (x, y))
+    at = np.flatnonzero(p.rolling(hx, p.K) == p.rolling(hy, p.K))
+    got = p.align(hx, hy, at, at, 50, 0.8)
+    assert got == [(0, 70, 0, 70, 60)]
