@@ -1,7 +1,6 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
-Seeds are minimizers: of every `window` neighbouring k-word hashes the least, so two texts with k + window - 1 equal words in
-a row share one. Occurrences of a seed are joined with its first occurrence (least id, then place), never with each other, so
+Seeds are all runs of k words, so two texts with k equal words in a row share one. Occurrences of a seed are joined with its first occurrence (least id, then place), never with each other, so
 a seed in thousands of documents makes a link for each and no more. For every pair of documents the matches are chained in
 order in both, a chain's score being its seeds less a cost for the words skipped between them; a Fenwick tree over places
 in the second text finds the best predecessor. Chains are aligned on the words: gaps by longest common subsequence, ends by
@@ -45,16 +44,17 @@ def minimizers(h: np.ndarray, k: int = K, window: int = WINDOW) -> np.ndarray:
 
 
 def _seeds(docs: DataFrame) -> DataFrame:
-    """h, doc, at: every document's seeds."""
+    """h, doc, at: every k-mer of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hs, ds, ats, size = [], [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 h = word_hashes(text)
-                at = minimizers(h)
+                seeds = rolling(h, K)
+                at = np.arange(len(seeds))
                 if len(at):
-                    hs.append(rolling(h, K)[at].view(np.int64))
+                    hs.append(seeds.view(np.int64))
                     ds.append(np.full(len(at), doc, np.int64))
                     ats.append(at)
                     size += len(at)

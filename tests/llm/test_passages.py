@@ -112,3 +112,14 @@ def test_split_keeps_the_longest_part_that_reaches_the_identity():
     at = np.flatnonzero(p.rolling(hx, p.K) == p.rolling(hy, p.K))
     got = p.align(hx, hy, at, at, 50, 0.8)
     assert got == [(0, 70, 0, 70, 60)]
+
+
+def test_passages_edited_every_nine_words(spark):
+    """Runs of eight equal words and no longer one: identity 0.89, and every pair must meet."""
+    rows = []
+    for n in range(40):
+        passage = words(63, 2000 + n)
+        edited = [f"edit{n}x{i}" if i % 9 == 8 else w for i, w in enumerate(passage)]
+        rows += [(2 * n, " ".join(words(30, 2100 + n) + passage + words(30, 2200 + n))), (2 * n + 1, " ".join(words(20, 2300 + n) + edited + words(40, 2400 + n)))]
+    got = p.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.matched_words) for r in got) == [(2 * n + 1, 2 * n, 20, 82, 56) for n in range(40)]
