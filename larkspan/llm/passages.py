@@ -1,7 +1,9 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
 Seeds are all runs of k words, so two texts with k equal words in a row share one. Occurrences of a seed are joined with its first occurrence (least id, then place), never with each other, so
-a seed in thousands of documents makes a link for each and no more. For every pair of documents the matches are chained in
+a seed in thousands of documents makes a link for each and no more. Runs of 16, 32 and `min_words` words whose seeds all occur
+earlier, but with first occurrences in several places, are joined with the first occurrence of the whole run too, so documents
+that share it meet although earlier ones hold pieces of it. For every pair of documents the matches are chained in
 order in both, a chain's score being its seeds less a cost for the words skipped between them; a Fenwick tree over places
 in the second text finds the best predecessor. Chains are aligned on the words: gaps by longest common subsequence, ends by
 extension with an x-drop, so edited words do not end a passage. What has at least `min_words` words, of which `identity`
@@ -85,6 +87,50 @@ def _first_occurrence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(v[other]) for v in (doc, y, at, py)], names=["x", "y", "px", "py"])
 
 
+def _longer_runs(lengths: list[int]):  # noqa: ANN202
+    """Rows sorted by x, px (each place of x that has an earlier occurrence, with the first one) -> h, doc, at: every run of so many
+    words of which all k-mers occur earlier, but not all in one run of one document. Equal runs have equal first occurrences, so these name it."""
+
+    def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x, y, px, py = cols
+        name = (y.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (py.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        near = (np.diff(x) == 0) & (np.diff(px) == 1)
+        apart = np.concatenate([[0], np.cumsum(~near)])  # places where a stretch ends, up to each row
+        turns = np.concatenate([[0], np.cumsum(~(near & (np.diff(y) == 0) & (np.diff(py) == 1)))])
+        for length in lengths:
+            n = length - K + 1
+            if len(x) < n:
+                continue
+            m = len(x) - n + 1
+            at = np.flatnonzero((apart[n - 1 :] == apart[:m]) & (turns[n - 1 :] != turns[:m]))
+            for lo in range(0, len(at), 200_000):
+                part = at[lo : lo + 200_000]
+                h = np.full(len(part), length, np.uint64)
+                for k in range(n):
+                    h ^= h >> np.uint64(29)
+                    h *= np.uint64(0x9E3779B97F4A7C15)
+                    h += name[part + k]
+                h ^= h >> np.uint64(32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(x[part]), pa.array(px[part])], names=["h", "doc", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            if not len(cols[0]):
+                continue
+            if held:
+                cols = [np.concatenate(v) for v in zip(held, cols, strict=True)]
+            cut = int(np.searchsorted(cols[0] == cols[0][-1], True))  # the last document may go on in the next batch
+            if cut:
+                yield from work([v[:cut] for v in cols])
+            held = [v[cut:] for v in cols]
+        if held:
+            yield from work(held)
+
+    return run
+
+
 def chains(px: np.ndarray, py: np.ndarray, gap: float = GAP) -> list[np.ndarray]:
     """Disjoint best-first chains of matches (sorted by px, then py), as ascending indices.
 
@@ -130,7 +176,7 @@ def _chain(px: np.ndarray, py: np.ndarray, gap: float) -> list[np.ndarray]:
         a = b
     used = [False] * n
     out = []
-    for k in sorted(range(n), key=lambda k: (-score[k], k)):
+    for k in sorted(range(n), key=lambda k: (-round(score[k], 9), k)):  # equal scores in order of place
         run = []
         while k >= 0 and not used[k]:
             used[k] = True
@@ -340,7 +386,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     c.bounded_arrow(docs.sparkSession)
     occurrences = _seeds(docs).repartition("h").sortWithinPartitions("h", "doc", "at")
     matches = occurrences.mapInArrow(_first_occurrence, "x long, y long, px int, py int")
-    pairs = matches.repartition("x", "y").sortWithinPartitions("x", "y", "px", "py")
+    lengths = [n for n in (2 * K, 4 * K) if n < min_words] + [min_words] * (min_words > K)
+    runs = matches.repartition("x").sortWithinPartitions("x", "px").mapInArrow(_longer_runs(lengths), "h long, doc long, at int")
+    longer = runs.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(_first_occurrence, "x long, y long, px int, py int")
+    pairs = matches.unionByName(longer).repartition("x", "y").sortWithinPartitions("x", "y", "px", "py")
     chained = c.spool(pairs.mapInArrow(_chain_pairs, "x long, y long, px array<int>, py array<int>, sizes array<int>"))
     ids = c.spool(chained.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
     texts = c.texts_of(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).dropDuplicates(["doc_id"])

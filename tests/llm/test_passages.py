@@ -123,3 +123,14 @@ def test_passages_edited_every_nine_words(spark):
         rows += [(2 * n, " ".join(words(30, 2100 + n) + passage + words(30, 2200 + n))), (2 * n + 1, " ".join(words(20, 2300 + n) + edited + words(40, 2400 + n)))]
     got = p.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.matched_words) for r in got) == [(2 * n + 1, 2 * n, 20, 82, 56) for n in range(40)]
+
+
+def test_pieces_in_earlier_documents_do_not_hide_a_passage(spark):
+    rows, want = [], []
+    for n in range(20):
+        text = words(70, 3000 + n)
+        parts = [text[:49], text[21:], words(9, 3100 + n) + text, words(5, 3200 + n) + text + words(7, 3300 + n)]
+        rows += [(4 * n + i, " ".join(t)) for i, t in enumerate(parts)]
+        want.append((4 * n + 3, 4 * n + 2, 5, 75, 70))
+    got = p.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.matched_words) for r in got) == want
