@@ -115,15 +115,16 @@ def read_tiers(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, tier string, start double, end double, label string")
 
 
-def key_counts(docs: DataFrame, column: str, depth: int = 4) -> DataFrame:
-    """path, n: how many documents have a leaf at each dotted path (lists by their first element), down to `depth` levels."""
+def key_counts(docs: DataFrame, column: str, depth: int | None = None) -> DataFrame:
+    """path, n: how many documents have a leaf at each dotted path (lists by their first element), at any depth or down to `depth` levels."""
     rows = docs.where(F.col(column).isNotNull()).select(F.lit("").alias("path"), F.col(column).cast("string").alias("j"))
-    found = None
-    for _ in range(depth):
+    found, level = rows.select("path").limit(0), 0
+    while level < depth if depth is not None else not rows.isEmpty():
+        level += 1
         kind = F.substring(F.ltrim("j"), 1, 1)
         keys = F.when(kind == "{", F.json_object_keys("j")).when((kind == "[") & (F.json_array_length("j") > 0), F.array(F.lit("0")))
         leaf = rows.where(keys.isNull() & (F.col("path") != "")).select("path")
-        found = leaf if found is None else found.unionByName(leaf)
+        found = found.unionByName(leaf)
         open_ = rows.where(keys.isNotNull()).select("path", "j", F.explode(keys).alias("k"))
         child = F.when(F.substring(F.ltrim("j"), 1, 1) == "[", F.expr("get_json_object(j, '$[0]')")).otherwise(F.expr("get_json_object(j, concat('$[\\'', k, '\\']'))"))
         rows = open_.select(F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "k").alias("path"), F.coalesce(child, F.lit("null")).alias("j"))

@@ -92,6 +92,8 @@ def test_tiers(spark, tmp_path):
 def test_json_documents(spark):
     df = spark.createDataFrame([('{"a": {"b": [1, 2], "c": null}, "d": 1}',), ('{"a": {"b": []}}',), (None,)], "j string")
     assert {r.path: r.n for r in documents.key_counts(df, "j").collect()} == {"a.b.0": 1, "a.c": 1, "d": 1, "a.b": 1}
+    deep = spark.createDataFrame([('{"a": {"b": {"c": {"d": {"e": [{"f": 1}], "g": 2}}}}}',)], "j string")
+    assert {r.path: r.n for r in documents.key_counts(deep, "j").collect()} == {"a.b.c.d.e.0.f": 1, "a.b.c.d.g": 1}
     made = spark.createDataFrame([(1,)], "x int").select(documents.document("explanation", F.struct("x")).alias("j"))
     assert documents.checked(made, "j", "explanation", "struct<x:int>").first().body.x == 1
     bad = spark.createDataFrame([('{"schema":"explanation","version":9,"body":{}}',), ('{"schema":"demo","version":1}',), ('{"schema":"explanation","version":0}',)], "j string")
