@@ -39,15 +39,39 @@ def bounded_arrow(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or what setCheckpointDir named.
+
+    Where neither is set, a single-machine session (local master, as in tests) gets a folder of its own; on a cluster the
+    executors would not see each other's files there, so that is refused.
+    """
+    sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and (named := sc._jsc.sc().getCheckpointDir()).isDefined():
+        where = named.get()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = getattr(spark, "_larkspan_shared", None)
         if where is None:
             where = spark._larkspan_shared = tempfile.mkdtemp(prefix="larkspan-")
     return where.rstrip("/")
 
 
+def column(name: str) -> Column:
+    """The top-level column of that name, whatever marks the name has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def boxed(docs: DataFrame) -> Column:
+    """All columns of docs in one struct `row`, so that no working column can clash with them."""
+    return F.struct(*[column(x).alias(f"c{i}") for i, x in enumerate(docs.columns)]).alias("row")
+
+
+def unboxed(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """docs' columns out of `row`, some of them replaced by `new` ones."""
+    return df.select(*[new.get(x, F.col(f"row.c{i}")).alias(x) for i, x in enumerate(docs.columns)])
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
         jvm = spark.sparkContext._jvm
@@ -96,12 +120,12 @@ def least_count(df: DataFrame, count: str, most: int) -> int:
     return cut if cut is not None else 1 << 62
 
 
-def bucket_rank(df: DataFrame, keys: list[str], order: Column, rows_per_bucket: int = 2000) -> DataFrame:
+def bucket_rank(df: DataFrame, keys: list[str], order: Column, rows_per_bucket: int = 2000, tie: str | None = None) -> DataFrame:
     """Add `rank` (0, 1, ...) within each key by `order`, a long column that is spread evenly over its 64 bits.
 
     No task sees a whole key: rows fall into ranges of `order`, about `rows_per_bucket` rows each over the whole table; the
     ranges' counts give each range's offset, and rows are numbered inside a range only. `df` must be cheap to read twice
-    (spooled). Ties in `order` are numbered in any way.
+    (spooled). Ties in `order` are numbered by the column `tie`, or in any way.
     """
     total = df.count()
     n = max(1, -(-total // rows_per_bucket))
@@ -116,7 +140,7 @@ def bucket_rank(df: DataFrame, keys: list[str], order: Column, rows_per_bucket:
     c1, c2 = counts.alias("c1"), coarse.alias("c2")
     offsets = c1.join(c2, [F.col(f"c1.{k}").eqNullSafe(F.col(f"c2.{k}")) for k in [*keys, "_g"]]).select("c1.*", "c2._g0")
     offsets = offsets.withColumn("_first", F.col("_g0") + before("_n", "_g", "_b")).select(*keys, "_b", "_first")
-    rows = b.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_o")) - 1).alias("r")
+    rows = b.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_o", *([tie] if tie else []))) - 1).alias("r")
     o = offsets.alias("o")
     out = rows.join(o, [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "_b"]])
     return out.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r._i") + F.col("o._first")).cast("long").alias("rank"))

@@ -24,7 +24,7 @@ def brute_targets(sizes, weights, share, cap):
 
 
 def check(spark, docs, rows):
-    slim = c.spool(mixing.keyed(docs).select("doc_id", "source", "_h", "_k", "_size"))
+    slim = mixing.keyed(docs, F.col("doc_id"), F.col("source"))
     planned = mixing.plan(slim, mixing.WEIGHTS)
     got = mixing.with_copies(slim, planned).collect()
     assert len(got) == len(rows)
@@ -55,24 +55,56 @@ def test_cases(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "one two three", "a"), (4, "w " * 5000, None), (5, "x y", None), (None, "z z", "b"), (None, "z z", "b"), (6, "q", "ü"), (7, "q r s", "z"), (8, None, "only nulls"), (9, None, "only nulls")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     check(spark, docs, rows)
-    assert mixing.plan(c.spool(mixing.keyed(docs.limit(0)).select("_h", "_k", "_size")), mixing.WEIGHTS).count() == 0
-    out = mixing.mixed_documents(docs.withColumn("_extra", F.lit(1)).withColumn("size", F.lit("clash")))
-    assert out.columns == ["doc_id", "text", "source", "_extra", "size"]
+    assert mixing.plan(mixing.keyed(docs.limit(0)), mixing.WEIGHTS).count() == 0
+    extra = docs.withColumn("_h", F.lit(1)).withColumn("size", F.lit("clash")).withColumn("row", F.lit(2)).withColumn("a.b", F.lit(3))
+    out = mixing.mixed_documents(extra)
+    assert out.columns == extra.columns and {(r["_h"], r.size, r.row, r["a.b"]) for r in out.collect()} == {(1, "clash", 2, 3)}
 
 
-def test_dual_meets_both_constraints(spark):
-    cells = spark.createDataFrame([("a", x / 10, 5 + i) for i, x in enumerate(range(1, 40, 3))] + [("b", 1.0, 9)], "_k string, _x double, _n long")
+def test_repeated_rows_meet_the_target(spark):
+    """Equal rows tie in every hash; only as many of them as the target needs are taken twice."""
+    rows = [(1, "w x", "s")] * 3000 + [(2, "w x y z", "t")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, want, taken, most, got = check(spark, docs, rows)
+    assert size == {"s": 6000, "t": 12_000} and all(abs(taken[s] - want[s]) <= most[s] for s in size)
+    assert mixing.mixed_documents(docs).where("doc_id = 2").count() * 4 == taken["t"]
+
+
+def test_the_tilt_carries_the_result(spark):
+    """Sources above and below their size are tilted to long and from long documents; plain proportional rates would not be."""
+    rows = [(i, "w " * (1 + i % 40), "abc"[i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, want, taken, most, got = check(spark, docs, rows)
+    rate = {(r.source, r["_size"]): r["_r"] for r in got}
+    for s in size:
+        part = want[s] / size[s]
+        by = [rate[s, n] for n in sorted({n for x, n in rate if x == s})]
+        if part < 1.99:
+            assert abs(part - 1) > 0.01 and (np.diff(by) * (part - 1) > 0).all()
+        else:
+            assert min(by) > 1.999
+    # the rates are the solution: words come out exactly, and the log odds are a straight line through rate 1 at size 0
+    for s in size:
+        total = sum(r["_r"] * r["_size"] for r in got if r.source == s)
+        assert np.isclose(total, want[s], rtol=1e-6)
+        if want[s] / size[s] < 1.99:
+            sizes = np.array(sorted({n for x, n in rate if x == s}))
+            r = np.array([rate[s, n] for n in sizes])
+            line = np.log(r / (2 - r)) / sizes
+            assert np.allclose(line, line[0], rtol=1e-6)
+
+
+def test_dual_meets_every_constraint(spark):
+    cells = spark.createDataFrame([("a", x / 10, 5 + i) for i, x in enumerate(range(1, 40, 3))] + [("b", 1.0, 9), ("full", 1.0, 4), ("none", 2.0, 4)], "_k string, _x double, _n long")
     docs, words = {}, {}
     for r in cells.collect():
         docs[r["_k"]] = docs.get(r["_k"], 0) + r["_n"]
         words[r["_k"]] = words.get(r["_k"], 0) + r["_n"] * r["_x"]
-    # more words than the copies' share: the tilt must favour long documents
-    goals = spark.createDataFrame([("a", float(docs["a"]), 0.9 * words["a"], 0.7 * docs["a"]), ("b", 9.0, 11.0, 11.0)], "_k string, _docs double, _words double, _copies double")
-    duals = {r["_k"]: r for r in mixing.solve(c.spool(cells), goals, 2.0).collect()}
-    rate = lambda k, x: 2 / (1 + np.exp(-(duals[k]["_a"] + duals[k]["_b"] * x)))
-    a = [(r["_n"], r["_x"], rate("a", r["_x"])) for r in cells.collect() if r["_k"] == "a"]
-    assert np.isclose(sum(n * r for n, _, r in a), 0.7 * docs["a"]) and np.isclose(sum(n * x * r for n, x, r in a), 0.9 * words["a"])
-    assert duals["a"]["_b"] > 0 and np.isclose(9 * rate("b", 1.0), 11)
+    goals = spark.createDataFrame([("a", float(docs["a"]), 0.4 * words["a"]), ("b", 9.0, 11.0), ("full", 4.0, 8.0), ("none", 4.0, 0.0)], "_k string, _docs double, _words double")
+    duals = {r["_k"]: r["_b"] for r in mixing.solve(c.spool(cells), goals, 2.0).collect()}
+    rate = lambda k, x: 2 / (1 + np.exp(-min(40, duals[k] * x)))
+    assert np.isclose(sum(r["_n"] * r["_x"] * rate("a", r["_x"]) for r in cells.collect() if r["_k"] == "a"), 0.4 * words["a"])
+    assert duals["a"] < 0 and np.isclose(9 * rate("b", 1.0), 11) and duals["full"] == mixing.ENDLESS and duals["none"] == -mixing.ENDLESS
 
 
 def test_bucket_rank(spark):
