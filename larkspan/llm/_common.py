@@ -106,6 +106,20 @@ def join_small(df: DataFrame, small: DataFrame, on: str | list[str], how: str =
     return df.join(small, on, how)
 
 
+#: A group with more than this part of all rows is hot; there are less than so many.
+HOT_SHARE = 1000
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
+    """rows joined with their group (spooled, with its number of rows `n`). Groups of more than a thousandth of all rows are broadcast: there are less than a thousand."""
+    total, most = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    limit = max(total // HOT_SHARE, 2000)
+    if most <= limit:
+        return rows.join(groups.drop("n"), key)
+    hot = F.broadcast(groups.where(F.col("n") > limit).drop("n"))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(groups.where(F.col("n") <= limit).drop("n"), key))
+
+
 def least_count(df: DataFrame, count: str, most: int) -> int:
     """Least value of `count` (positive) at which not more than `most` rows have it or more; from a histogram of three digits, some ten thousand rows at most."""
     n = F.col(count)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (same type, non-null) -> node, root (the least node of its component), spooled; nodes that are roots are left out.
 
     Alternates large stars and small stars: every node links its larger (then smaller) neighbours to the least node it
-    sees, until nothing changes. A hub's neighbours are never gathered in one row: the least one is an aggregate with
+    sees, until nothing changes, which takes a number of rounds like the square of the logarithm of the nodes. A hub's neighbours are never gathered in one row: the least one is an aggregate with
     partial sums, and the join with it can be split.
     """
 
@@ -32,10 +32,9 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
     now = tidy(edges)
     seen = mark(now)
-    for _ in range(most):
+    while True:
         last, now = now, tidy(star(tidy(star(now, True)), False))
         c.drop_spool(last)
         if (m := mark(now)) == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = m
-    raise RuntimeError("components did not settle")

@@ -4,8 +4,9 @@ The codec follows the GIF89a layout (header, palettes, extensions, image blocks,
 logical screen. `store_payload` writes bytes losslessly as palette indices of timed frames; `read_payload` gets them back
 from the composed frames.
 
-Defined results: null media gives one row with status `null` and no frame; bytes that are no whole GIF give the frames up
-to the fault and status `error: ...`; empty payloads are padded by the caller. Rows are independent, so repeated rows give
+Defined results: null media gives one row with status `null` and no frame, a GIF without an image one with status `no frame`;
+bytes that are no whole GIF give the frames up to the fault (status `ok`) and one more row without a frame and with status
+`error: ...`; a screen of more than `MOST_PIXELS` is such a fault, found before memory is taken; empty payloads are padded by the caller. Rows are independent, so repeated rows give
 repeated results; other columns are left alone.
 """
 
@@ -26,6 +27,7 @@ from . import _common as c
 
 TOP = 4096  # codes have 12 bits at most
 WIDTH, ROWS = 192, 256  # of a stored frame, at most
+MOST_PIXELS = 1 << 26  # of a screen
 
 
 def _widths(min_bits: int) -> np.ndarray:
@@ -174,6 +176,8 @@ def decode(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     w, h, flags = struct.unpack_from("<HHB", data, 6)
+    if w * h > MOST_PIXELS:
+        raise ValueError(f"screen of {w} x {h}")
     at = 13
     palette = None
     if flags & 128:
@@ -235,9 +239,10 @@ def decode(data: bytes) -> Iterator[Frame]:
 def colour_histogram(rgba: np.ndarray, per_channel: int = 4) -> list[int]:
     """Visible pixels by colour, per_channel bins a channel, and last the transparent pixels."""
     flat = rgba.reshape(-1, 4)
-    step = 256 // per_channel
-    q = flat[:, :3].astype(np.int64) // step
-    key = np.where(flat[:, 3] > 0, (q[:, 0] * per_channel + q[:, 1]) * per_channel + q[:, 2], per_channel**3)
+    key = np.zeros(len(flat), np.int32)
+    for ch in range(3):
+        key = key * per_channel + flat[:, ch].astype(np.int32) * per_channel // 256
+    key[flat[:, 3] == 0] = per_channel**3
     return np.bincount(key, minlength=per_channel**3 + 1).tolist()
 
 
@@ -266,29 +271,31 @@ def read_payload(frames: list[Frame]) -> bytes:
 def frames_of(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row per frame: id, frame_no, start_ms, delay_ms, disposal, width, height, rgba, histogram, status.
 
-    Null media or media without a frame gives one row with a null frame_no.
+    Null media, media without a frame, and what follows the last good frame of faulty media give one row with a null frame_no.
     """
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, data in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                rows, status, start = [], "ok", 0
+                rows, status, start, size, n = [], "ok", 0, 0, 0
                 if data is None:
                     status = "null"
                 else:
                     try:
-                        for k, f in enumerate(decode(data)):
+                        for f in decode(data):
                             h, w = f.rgba.shape[:2]
-                            rows.append((k, start, f.delay_ms, f.disposal, w, h, f.rgba.tobytes(), colour_histogram(f.rgba)))
-                            start += f.delay_ms
-                            if len(rows) >= 16:
-                                yield batch_of(ident, rows, status, batch)
-                                rows = []
+                            rows.append((n, start, f.delay_ms, f.disposal, w, h, f.rgba.tobytes(), colour_histogram(f.rgba)))
+                            start, size, n = start + f.delay_ms, size + f.rgba.size, n + 1
+                            if len(rows) >= 16 or size > 32_000_000:
+                                yield batch_of(ident, rows, "ok", batch)
+                                rows, size = [], 0
                     except (ValueError, IndexError, struct.error) as e:
                         status = f"error: {e}"
-                if rows or status != "ok" or not start:
-                    yield batch_of(ident, rows if status == "ok" and rows else [*rows, (None,) * 8], status, batch)
+                if rows:
+                    yield batch_of(ident, rows, "ok", batch)
+                if status != "ok" or not n:
+                    yield batch_of(ident, [(None,) * 8], "no frame" if status == "ok" else status, batch)
 
     def batch_of(ident: pa.Scalar, rows: list[tuple], status: str, batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
@@ -314,8 +321,9 @@ def payload_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     media = store_payload(raw + b" " * (-len(raw) % WIDTH or (0 if raw else WIDTH)))
                     frames = list(decode(media))
                     h, w = frames[0].rgba.shape[:2]
-                    hist = np.sum([np.bincount(f.indices.ravel() >> 5, minlength=8) for f in frames], axis=0)
-                    feature = f"frames={len(frames)};screen={w}x{h};ms={sum(f.delay_ms for f in frames)};hist={','.join(map(str, hist.tolist()))}"
+                    hist = np.sum([colour_histogram(f.rgba) for f in frames], axis=0)
+                    starts = np.cumsum([0, *(f.delay_ms for f in frames)]).tolist()
+                    feature = f"screen={w}x{h};starts={','.join(map(str, starts))};colours={','.join(f'{i}:{hist[i]}' for i in np.flatnonzero(hist))}"
                     back = read_payload(frames)
                     rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, media))
                 types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]

@@ -1,17 +1,24 @@
 """Exact Jaccard self-join of five-word shingle sets as a metric-space join (distance 1 - Jaccard, radius tau = 1/4).
 
-1. Equal sets become one point, kept by a 64-bit hash of the set.
-2. Anchors. Two sets are at a distance below 1 only if they share a shingle, so the pivots that tell points apart are the
-   single shingles. With all shingles in one order (frequent ones last), sets within tau share one among their first
-   n - ceil(3n/4) + 1: a set is replicated to these regions and no others.
-3. Document pivots. An anchor's region is parted where sizes leave a gap that no link can bridge; the first point of each
-   part is its pivot, and parts with one pivot become that pivot's region, so a pair within tau meets in at least one.
-4. A region of at most `most` points is joined in one task. A larger one takes exact distances to its pivot, then to a
-   second pivot; points fall into rings of width tau. By the triangle inequality only equal and neighbouring rings can be
-   linked, and the innermost ring is linked through its pivot already. What is left is joined in blocks of bounded size, pair by pair.
-5. Every block gives a spanning forest of its exact links; connected components are found over all forests.
-
-The order of step 2 and the blocks of step 4 affect speed only; all links are decided by exact intersection sizes of
+1. Equal sets become one point, kept by a 64-bit hash of the set, with its size and its counts of shingles in `BUCKETS` hash buckets.
+2. Anchors. Nearly all points are at distance 1 from any given document, so document pivots cannot tell them apart; this is the exact
+   route for them. Two sets are nearer than 1 only if they share a shingle. With all shingles in one order (frequent ones
+   last), sets within tau share one among their first n - ceil(3n/4) + 1: a set is replicated to these regions and no others.
+   A region is parted where sizes leave a gap that no link can bridge; the first point of each part is its pivot, and parts
+   with one pivot become that pivot's region, so a pair within tau meets in at least one.
+3. Counts. The sum of absolute differences of two points' counts is a metric, and at most the size of their symmetric
+   difference, which for a link is at most a seventh of both sizes together. In that space every region is joined by pivots: points
+   go to the Voronoi cell of the nearest pivot, and to every other cell whose pivot is not farther by more than twice the radius
+   of a link (triangle inequality), cell by cell and recursively. What can be linked stays together as a smaller
+   region; the rest leaves without its text having been moved.
+4. Texts. A region of at most `most` points is joined in one task by exact intersection sizes. A larger one gets sampled document
+   pivots and exact distances: links to pivots are taken, points go to the cell of the nearest pivot and, within the window of
+   2 tau, to others; points within tau of a cell's pivot are linked through it and stay only if a point beyond tau could reach them. Cells are
+   regions again and join recursively. A cell with over three quarters of its region (pivots do not tell its points apart) is joined
+   in pairs of blocks instead.
+5. Every task gives a spanning forest of its exact links; connected components are found over all forests.
+
+The order of step 2 affects speed only; all links are decided by exact intersection sizes of
 64-bit shingle hashes. The list of frequent shingles is a bounded hint of at most `HOT` entries.
 
 Defined results: texts without words have no shingles and are alone in their component; rows of equal sets are in one
@@ -36,14 +43,22 @@ from ._words import shingles
 
 HOT = 1 << 20
 WINDOW = 4_000_000  # shingles among which repeats are noticed
+BUCKETS = 128
+PIVOTS = 8
+TAU = 0.25
 
 
 def _key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def _counts(s: np.ndarray) -> bytes:
+    """Shingles by bucket, each count cut at 255 (which keeps differences a lower bound)."""
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """Spooled rows: doc_id, key, n (key null and n 0 without words), and with a null n the shingles (in key) that repeat within a window, with their count in times."""
+    """Spooled rows: doc_id, key, n (key null and n 0 without words), counts, and with a null n the shingles (in key) that repeat within a window, with their count in times."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,17 +72,18 @@ def _sets(docs: DataFrame) -> DataFrame:
             many = counts > 1
             held.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.nulls(int(many.sum()), id_type), pa.array(values[many].view(np.int64)), pa.nulls(int(many.sum()), pa.int64()), pa.array(counts[many])], names=["doc_id", "key", "n", "times"])
+            return pa.RecordBatch.from_arrays([pa.nulls(int(many.sum()), id_type), pa.array(values[many].view(np.int64)), pa.nulls(int(many.sum()), pa.int64()), pa.array(counts[many]), pa.nulls(int(many.sum()), pa.binary())], names=["doc_id", "key", "n", "times", "counts"])
 
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            keys, ns = [], []
+            keys, ns, counted = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(text)
                 k = _key(s) if len(s) else None
                 keys.append(k)
                 ns.append(len(s))
+                counted.append(_counts(s) if len(s) else None)
                 if k is not None and k not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(k)
@@ -75,11 +91,16 @@ def _sets(docs: DataFrame) -> DataFrame:
                     size += len(s)
                     if size > WINDOW:
                         yield repeats(id_type)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(len(ns), pa.int64())], names=["doc_id", "key", "n", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(len(ns), pa.int64()), pa.array(counted, pa.binary())], names=["doc_id", "key", "n", "times", "counts"])
         if held:
             yield repeats(id_type)
 
-    return c.spool(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind.simpleString()}, key long, n long, times long"))
+    return c.spool(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind.simpleString()}, key long, n long, times long, counts binary"))
+
+
+def _keys(sets: DataFrame) -> DataFrame:
+    """Spooled: each distinct set's key, size, counts, number of rows and least id."""
+    return c.spool(sets.where("n > 0").groupBy("key").agg(F.max("n").alias("size"), F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("counts").alias("counts")))
 
 
 def _prefixes(docs: DataFrame, hot: np.ndarray, times: np.ndarray) -> DataFrame:
@@ -222,15 +243,91 @@ def _forest(_group: int, keys: list[int], sets: list[np.ndarray]) -> Iterator[tu
                 yield keys[i], keys[j]
 
 
-def _ring(both: int, n: int, m: int) -> int:
-    """0: within tau of the pivot, 1: within 2 tau, ..."""
-    union = n + m - both
-    return 0 if 4 * both >= 3 * union else 1 if 2 * both >= union else 2 if 4 * both >= union else 3
-
+def _joined_parts(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Labels of the components of the graph of possible links: sizes within 3/4, and counts that differ by a seventh of both sizes at most."""
+    label = np.arange(len(n))
+    counts = counts.astype(np.int16)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        for lo in range(0, len(a), 32):
+            part = a[lo : lo + 32]
+            apart = np.abs(counts[part][:, None] - counts[b][None]).sum(2, dtype=np.int32)
+            i, j = np.nonzero((7 * apart <= n[part][:, None] + n[b][None]) & (4 * np.minimum(n[part][:, None], n[b][None]) >= 3 * np.maximum(n[part][:, None], n[b][None])))
+            link(part[i], b[j])
+
+    def link(u: np.ndarray, v: np.ndarray) -> None:
+        """Give linked points, and all that had their labels, the least label."""
+        while len(u):
+            a, b = label[u], label[v]
+            differ = a != b
+            if not differ.any():
+                return
+            u, v, a, b = u[differ], v[differ], a[differ], b[differ]
+            to = np.arange(len(label))
+            np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+            label[:] = to[label]
+
+    todo = [np.arange(len(n))]
+    while todo:
+        idx = todo.pop()
+        if len(idx) <= 64:
+            compare(idx, idx)
+            continue
+        pivots = [0]
+        far = np.abs(counts[idx] - counts[idx[0]]).sum(1, dtype=np.int32)[:, None]
+        while len(pivots) < PIVOTS and far.min(1).max() > 0:  # farthest first
+            pivots.append(int(far.min(1).argmax()))
+            far = np.concatenate([far, np.abs(counts[idx] - counts[idx[pivots[-1]]]).sum(1, dtype=np.int32)[:, None]], 1)
+        window = 2 * (2 * int(n[idx].max()) / 7)
+        cells = [idx[far[:, k] - far.min(1) <= window] for k in range(len(pivots))]
+        if max(map(len, cells)) > 0.75 * len(idx):
+            compare(idx, idx)
+        else:
+            todo += [x for x in cells if len(x) > 1]
+    return label
+
+
+def _subregions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, x, n, counts) sorted by g -> g, x: what can be linked within each region, named by the hash of its points."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def work(x: np.ndarray, n: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, at = np.unique(x, return_index=True)
+        if len(x) < 2:
+            return
+        label = _joined_parts(n[at], counts[at])
+        order = np.argsort(label, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(label[order]) != 0, [True]]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                keys = x[order[lo:hi]]  # sorted, as x is
+                yield np.full(hi - lo, xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)), keys
+
+    def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        g = cols[0]
+        edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+        out = [r for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for r in work(*(v[lo:hi] for v in cols[1:]))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], names=["g", "x"])
 
-def _texts(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """x, z: the compressed texts of the given keys."""
-    ids = c.spool(keys.join(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "key"))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = (*(batch.column(i).to_numpy() for i in range(3)), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BUCKETS))
+        held.append(cols)
+        if cols[0][0] == cols[0][-1] and held[0][0][0] == cols[0][0]:
+            continue  # one region so far
+        cols = [np.concatenate(v) for v in zip(*held, strict=True)]
+        cut = int(np.searchsorted(cols[0] == cols[0][-1], True))  # the last region may go on in the next batch
+        yield from flush([v[:cut] for v in cols])
+        held = [tuple(v[cut:] for v in cols)]
+    if held:
+        yield from flush([np.concatenate(v) for v in zip(*held, strict=True)])
+
+
+def _texts(docs: DataFrame, keys: DataFrame, used: DataFrame) -> DataFrame:
+    """x, z: the compressed texts of the used keys."""
+    ids = c.spool(used.join(keys.where("least is not null").select("key", F.col("least").alias("doc_id")), "key"))
     return c.texts_of(docs, ids).select(F.col("key").alias("x"), "z")
 
 
@@ -240,39 +337,67 @@ def _grouped(members: DataFrame, texts: DataFrame, work: Callable, names: list[s
     return rows.mapInArrow(_by_group(work, names), ", ".join(f"{n} long" for n in names))
 
 
-def _to_pivot(members: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """members: p, x, q (the pivot to measure from) -> p, x, q, ring. Points meet their pivot in groups of bounded size."""
-    sizes = members.groupBy("p", "q").agg(F.count("*").alias("size"))
-    rows = members.join(sizes, ["p", "q"]).withColumn("part", F.pmod(F.xxhash64("x"), F.ceil(F.col("size") / most)))
-    rows = rows.withColumn("g", F.xxhash64("p", "q", "part"))
-    plan = c.spool(rows.select("p", "q", "x", "g"))
-    pivots = plan.select("g", F.col("q").alias("x"), F.lit(1).cast("long").alias("is_q")).distinct()
-
-    both = plan.select("g", "x", F.lit(0).cast("long").alias("is_q")).unionByName(pivots)
-    joined = both.join(texts, "x").select("g", "x", "z", "is_q").repartition("g").sortWithinPartitions("g", F.desc("is_q"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = pivot = None
-        for batch in batches:
-            out = []
-            for g, x, text, is_q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), c.unzip(batch.column(2).to_pylist()), batch.column(3).to_pylist(), strict=True):
-                if g != group:
-                    group, pivot = g, None
-                s = shingles(text)
-                if is_q:
-                    if _key(s) == x:
-                        pivot = s
-                elif pivot is not None and _key(s) == x:
-                    out.append((g, x, _ring(len(np.intersect1d(s, pivot, assume_unique=True)), len(s), len(pivot))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names=["g", "x", "ring"])
-
-    rings = joined.mapInArrow(run, "g long, x long, ring long").distinct()
-    return c.spool(plan.join(rings, ["g", "x"]).select("p", "q", "x", "ring"))
-
-
-def links(docs: DataFrame, sets: DataFrame, most: int = 512) -> DataFrame:
-    """u, v: links whose components are those of all pairs of keys within tau."""
+def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, g, x, z, q) sorted by h, pivots (q their number) before points (q null) -> g, x, q, pivot, far, linked: each point with the nearest pivot, and with those that the window of 2 tau reaches."""
+    group, pivots = None, {}
+    for batch in batches:
+        out = []
+        for h, g, x, text, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), c.unzip(batch.column(3).to_pylist()), batch.column(4).to_pylist(), strict=True):
+            if h != group:
+                group, pivots = h, {}
+            s = shingles(text)
+            if not len(s) or _key(s) != x:
+                continue
+            if q is not None:
+                pivots[q] = (x, s)
+                continue
+            both = {k: (p, len(np.intersect1d(s, t, assume_unique=True)), len(s) + len(t)) for k, (p, t) in pivots.items()}
+            far = {k: 1 - b / (n - b) for k, (_, b, n) in both.items()}
+            least = min(far.values(), default=0.0)
+            out += [(g, x, k, p, far[k], 4 * b >= 3 * (n - b)) for k, (p, b, n) in both.items() if far[k] - least <= 2 * TAU + 1e-9]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.bool_()], strict=True)], names=["g", "x", "q", "pivot", "far", "linked"])
+
+
+def _voronoi(regions: DataFrame, texts: DataFrame, most: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """regions: g, x, size (spooled) -> links to pivots (u, v); cells that are regions again (g, x); blocks of cells that pivots do not part (g, x)."""
+    chosen = regions.groupBy("g").agg(F.max("size").alias("size"), F.array(*[F.min_by("x", F.xxhash64("x", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]).alias("qs"))
+    parts = F.ceil(F.col("size") / most).cast("long")
+    points = regions.select("g", "x", F.pmod(F.xxhash64("x", F.lit(turn)), parts).alias("part"), F.lit(None).cast("int").alias("q"))
+    pivots = chosen.select("g", "size", F.posexplode(F.array_distinct("qs")).alias("q", "x")).select("g", "x", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "q")
+    rows = points.unionByName(pivots).join(texts, "x").select(F.xxhash64("g", "part").alias("h"), "g", "x", "z", "q")
+    met = c.spool(rows.repartition("h").sortWithinPartitions("h", F.asc_nulls_last("q")).mapInArrow(_to_pivots, "g long, x long, q int, pivot long, far double, linked boolean"))
+    links = met.where("linked and pivot <> x").select(F.col("pivot").alias("u"), F.col("x").alias("v"))
+    edge = met.where("not linked").groupBy("g", "q").agg(F.min("far").alias("edge"))
+    cells = c.spool(met.join(edge, ["g", "q"]).where(F.col("far") >= F.col("edge") - TAU - 1e-9).join(chosen.select("g", "size"), "g").select("g", "q", "x", F.col("size").alias("parent")))
+    sizes = cells.groupBy("g", "q").agg(F.count("*").alias("cell"), F.max("parent").alias("parent"))
+    flat = c.spool(sizes.where("4 * cell > 3 * parent").select("g", "q", F.ceil(F.col("cell") / (most // 2)).cast("long").alias("blocks")))
+    name = F.xxhash64("g", "q", F.lit(turn)).alias("g")
+    again = cells.join(flat, ["g", "q"], "left_anti").select(name, "x")
+    block = F.pmod(F.xxhash64("x", F.lit(-1 - turn)), F.col("blocks"))
+    dealt = cells.join(flat, ["g", "q"]).select("g", "q", "x", block.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return links, again, dealt.select(F.xxhash64("g", "q", F.lit(turn), F.least("b", "other"), F.greatest("b", "other")).alias("g"), "x")
+
+
+def _exact(regions: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """u, v: links among the points of each region (g, x), recursively."""
+    found, turn = None, 0
+    while True:
+        regions = c.spool(regions)
+        sizes = regions.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+        sized = c.spool(regions.join(sizes, "g"))
+        part = _grouped(sized.where(F.col("size") <= most).select("g", "x"), texts, _forest, ["u", "v"])
+        found = part if found is None else found.unionByName(part)
+        large = sized.where(F.col("size") > most)
+        if not large.limit(1).count():
+            return found
+        links, regions, blocks = _voronoi(c.spool(large), texts, most, turn)
+        found = found.unionByName(links).unionByName(_grouped(blocks, texts, _forest, ["u", "v"]))
+        turn += 1
+
+
+def links(docs: DataFrame, sets: DataFrame, keys: DataFrame, most: int = 512, near: int = 4096) -> DataFrame:
+    """u, v: links whose components are those of all pairs of keys within tau. near: points of a region whose counts are joined in one task; more go on to step 4."""
     often = sets.where("times is not null").groupBy("key").agg(F.sum("times").alias("times")).where("times >= 32").orderBy(F.desc("times"), "key").limit(HOT).toPandas()
     hot = often["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
@@ -280,46 +405,27 @@ def links(docs: DataFrame, sets: DataFrame, most: int = 512) -> DataFrame:
     stars = prefixes.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(_stars, "p long, x long")
     pairs = c.spool(stars.distinct())
     sizes = c.spool(pairs.groupBy("p").agg((F.count("*") + 1).alias("size")))
-    keys = c.spool(pairs.select(F.explode(F.array("p", "x")).alias("key")).distinct())
-    texts = _texts(docs, sets, keys)
-    members = pairs.unionByName(sizes.select("p", F.col("p").alias("x")))
-    small = sizes.where(F.col("size") <= most).select("p")
-    found = _grouped(members.join(small, "p").select(F.col("p").alias("g"), "x"), texts, _forest, ["u", "v"])
-    large = sizes.where(F.col("size") > most).select("p")
-    if large.limit(1).count():
-        found = found.unionByName(_large(members.join(large, "p"), texts, most))
-    return found
-
-
-def _large(members: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """Links of regions that are too large for one task: two pivots' rings, then pairs of blocks."""
-    first = _to_pivot(members.withColumn("q", F.col("p")), texts, most)
-    outer = first.where("ring > 0").groupBy("p").agg(F.min_by("x", F.xxhash64("x", F.lit(2))).alias("q"))
-    second = _to_pivot(first.select("p", "x").join(outer, "p"), texts, most)
-    near = first.where("ring = 0 and x <> q").select(F.col("q").alias("u"), F.col("x").alias("v"))
-    near = near.unionByName(second.where("ring = 0 and x <> q").select(F.col("q").alias("u"), F.col("x").alias("v")))
-    cells = first.select("p", "x", F.col("ring").alias("r1")).join(second.select("p", "x", F.col("ring").alias("r2")), ["p", "x"])
-    counts = cells.groupBy("p", "r1", "r2").agg(F.ceil(F.count("*") / (most // 2)).alias("blocks"))
-    placed = c.spool(cells.join(counts, ["p", "r1", "r2"]).withColumn("b", F.pmod(F.xxhash64("x", F.lit(3)), F.col("blocks"))).select("p", "x", "r1", "r2", "b"))
-    blocks = placed.groupBy("p", "r1", "r2", "b").agg(F.count("*").alias("size")).withColumn("id", F.struct("r1", "r2", "b"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    meet = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.id") <= F.col("b.id")) & (F.abs(F.col("a.r1") - F.col("b.r1")) <= 1) & (F.abs(F.col("a.r2") - F.col("b.r2")) <= 1))
-    meet = meet.where(~((F.col("a.r1") == 0) & (F.col("b.r1") == 0)) & ~((F.col("a.r2") == 0) & (F.col("b.r2") == 0)))
-    meet = meet.select(F.col("a.p").alias("p"), F.explode(F.array("a.id", "b.id")).alias("id"), F.xxhash64("a.p", "a.id", "b.id").alias("g")).distinct()
-    groups = placed.withColumn("id", F.struct("r1", "r2", "b")).join(meet, ["p", "id"]).select("g", "x")
-    return near.unionByName(_grouped(groups, texts, _forest, ["u", "v"]))
+    members = pairs.unionByName(sizes.select("p", F.col("p").alias("x"))).join(sizes, "p")
+    points = keys.where("least is not null").select(F.col("key").alias("x"), F.col("size").alias("n"), "counts")
+    rows = members.where(F.col("size") <= near).join(points, "x").select(F.col("p").alias("g"), "x", "n", "counts").repartition("g").sortWithinPartitions("g")
+    regions = rows.mapInArrow(_subregions, "g long, x long").distinct()
+    regions = c.spool(regions.unionByName(members.where(F.col("size") > near).select(F.col("p").alias("g"), "x")))
+    texts = _texts(docs, keys, c.spool(regions.select(F.col("x").alias("key")).distinct()))
+    return _exact(regions, texts, most)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     c.bounded_arrow(docs.sparkSession)
     sets = _sets(docs)
-    roots = components(c.spool(links(docs, sets)))
-    rows = sets.where("n is not null").select("doc_id", "key", "n")
-    rows = c.spool(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    keys = _keys(sets)
+    roots = components(c.spool(links(docs, sets, keys)))
+    rooted = c.spool(keys.select("key", "n", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    whole = c.spool(rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id")))
+    named = c.spool(c.attach(rooted.withColumnRenamed("n", "rows"), whole, ["root"]).select("key", F.col("rows").alias("n"), "component_id"))
+    rows = sets.where("n is not null").select("doc_id", "key", F.col("n").alias("n_shingles"))
+    out = c.attach(rows.where("key is not null"), named, ["key"]).select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(rows.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,4 +436,5 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those that are linked to one of a smaller id, repeated rows once; docs' own columns."""
     gone = near_duplicates(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    rows = docs.select("doc_id", "text", c.boxed(docs)).join(gone.hint("merge"), "doc_id", "left_anti")
+    return c.unboxed(rows.dropDuplicates(["doc_id", "text"]), docs)

@@ -31,7 +31,6 @@ from . import _common as c
 
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 MIN_CHARS = 100  # of a single line that counts as a passage
-HOT_SHARE = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -47,22 +46,12 @@ def _doc_key(text_col: str) -> Column:
     return F.xxhash64("doc_id", c.column(text_col))
 
 
-def _attach(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
-    """rows joined with their group (spooled, with its size n). Groups of more than a thousandth of all rows are broadcast: there are less than a thousand."""
-    total, most = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    limit = max(total // HOT_SHARE, 2000)
-    if most <= limit:
-        return rows.join(groups.drop("n"), key)
-    hot = F.broadcast(groups.where(F.col("n") > limit).drop("n"))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(groups.where(F.col("n") <= limit).drop("n"), key))
-
-
 def _ranked(rows: DataFrame, key: list[str]) -> DataFrame:
     """Spooled doc_id, d, i, rank, first of the rows (spooled) that share their key with others."""
     groups = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "d", "i")).alias("first")).where("n > 1")
     # ranks rise with the order of the keys: the sort is by range, the rank by partition and row
     groups = c.spool(groups.orderBy(*key).withColumn("rank", F.monotonically_increasing_id()))
-    out = c.spool(_attach(rows, groups, key).select("doc_id", "d", "i", "rank", "first"))
+    out = c.spool(c.attach(rows, groups, key).select("doc_id", "d", "i", "rank", "first"))
     c.drop_spool(groups)
     return out
 
@@ -84,7 +73,7 @@ def _halve(todo: DataFrame, ranks: DataFrame, step: int) -> DataFrame:
     met = c.spool(rows.withColumn("there", F.col("i") + F.col("length")).join(at, ["d", "there"]).drop("there"))
     groups = met.groupBy("interval", "then").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "d", "i")).alias("deep")).where("n > 1")
     groups = c.spool(groups.withColumn("inner", F.xxhash64("interval", "then", F.lit(step))))
-    deeper = _attach(met.where("target").select("doc_id", "d", "i", "interval", "then"), groups, ["interval", "then"]).where(F.struct("doc_id", "d", "i") > F.col("deep"))
+    deeper = c.attach(met.where("target").select("doc_id", "d", "i", "interval", "then"), groups, ["interval", "then"]).where(F.struct("doc_id", "d", "i") > F.col("deep"))
     out = todo.join(deeper.select("d", "i", "inner", "deep"), ["d", "i"], "left")
     gone = F.col("inner").isNotNull()
     out = c.spool(out.select("doc_id", "d", "i", F.coalesce("inner", "interval").alias("interval"), (F.col("length") + F.when(gone, step).otherwise(0)).alias("length"), F.when(gone, F.col("deep")).otherwise(F.col("first")).alias("first")))

@@ -12,6 +12,7 @@ null labels and null ids in the labels are left out; repeated rows get equal sco
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,25 +41,28 @@ def _byte_class() -> np.ndarray:
 
 _CLASS = _byte_class()
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _word_shapes(u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shape of each word and the text it is in. A word's shape: its byte classes, length (capped for the shape only), and whether it equals one of the two words before it."""
+def _word_shapes(u: np.ndarray, at: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shape of each word, the text it is in, and its value. A word's shape: its byte classes, length (capped for the shape only), and whether it equals one of the two words before it in its text; `tail` has the values of words before u."""
     solid = ~_BLANK[u]
     edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(0, at.dtype), np.zeros(0, np.uint64)
     kinds = np.bitwise_or.reduceat(np.where(solid, _CLASS[u], 0), start).astype(np.uint32)
     v = u[start[0] :]
     place = (np.arange(len(v)) - np.repeat(start - start[0], np.diff(np.append(start, len(u))))).astype(np.uint64)
     value = np.add.reduceat((v.astype(np.uint64) + np.uint64(7)) * (place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xC2B2AE3D27D4EB4F)) * solid[start[0] :], start - start[0])
-    same = np.zeros(len(start), np.uint32)
-    same[1:] |= value[1:] == value[:-1]
-    same[2:] |= value[2:] == value[:-2]
+    known, own = np.concatenate([tail, value]), np.concatenate([np.full(len(tail), at[0]), at[start]])
+    same = np.zeros(len(known), np.uint32)
+    for back in (1, 2):
+        same[back:] |= (known[back:] == known[:-back]) & (own[back:] == own[:-back])
+    same = same[len(tail) :]
     last_mark = np.where(_CLASS[u[end - 1]] == 8, u[end - 1], 0).astype(np.uint32)
     length = np.minimum(7, np.log2(end - start).astype(np.uint32) * 2)
-    return kinds | length << np.uint32(4) | same << np.uint32(8) | last_mark << np.uint32(9), at[start]
+    return kinds | length << np.uint32(4) | same << np.uint32(8) | last_mark << np.uint32(9), at[start], value
 
 
 def indicators(texts: list[bytes | None]) -> np.ndarray:
@@ -66,23 +70,41 @@ def indicators(texts: list[bytes | None]) -> np.ndarray:
     out = np.zeros((len(texts), DIMS), bool)
     flat = out.reshape(-1)
     texts = [t or b"" for t in texts]
-    long = len(texts) == 1 and len(texts[0]) > g.SLICE
     joined = b"\n\n\n".join([*texts, b""])
-    # slices of a long text overlap, so none of its n-grams is lost; the word cut at a slice's start may add a shape
-    pieces = [joined[a : a + g.SLICE + 4096] for a in range(0, len(joined), g.SLICE)] if long else [joined]
-    for piece in pieces:
-        u8 = np.frombuffer(piece, np.uint8)
-        at = np.zeros(len(u8), np.int32) if long else np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 3 for t in texts])
-        row = at * np.int32(DIMS)
-        u = u8.astype(np.uint32)
+    long = len(texts) == 1 and len(texts[0]) > g.SLICE
+    none = np.zeros(0, np.uint64)
+
+    def grams(u8: np.ndarray, at: np.ndarray) -> None:
+        row, u = at * np.int32(DIMS), u8.astype(np.uint32)
         for n in (1, 2, 3, 4):
             h = g.hashed(u, n, BITS)
             h += row[: len(h)]
             flat[h if n == 1 else h[at[n - 1 :][: len(h)] == at[: len(h)]]] = True
-        shapes, where = _word_shapes(u8, at)
+
+    def shape_grams(shapes: np.ndarray, where: np.ndarray) -> None:
         for n in (1, 2, 3):
             h = g.hashed(shapes, n, SHAPE_BITS) + where[: max(0, len(shapes) - n + 1)] * np.int32(DIMS) + (1 << BITS)
             flat[h[where[n - 1 :][: len(h)] == where[: len(h)]]] = True
+
+    if not long:
+        u8 = np.frombuffer(joined, np.uint8)
+        at = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 3 for t in texts])
+        grams(u8, at)
+        shapes, where, _ = _word_shapes(u8, at, none)
+        shape_grams(shapes, where)
+        return out
+    for a in range(0, len(joined), g.SLICE):  # slices overlap by what an n-gram needs
+        u8 = np.frombuffer(joined[a : a + g.SLICE + 3], np.uint8)
+        grams(u8, np.zeros(len(u8), np.int32))
+    a, tail, last = 0, none, np.zeros(0, np.uint32)
+    while a < len(joined):  # slices end between words; two words are carried over
+        cut = _GAP.search(joined, a + g.SLICE)
+        b = cut.end() if cut else len(joined)
+        u8 = np.frombuffer(joined[a:b], np.uint8)
+        shapes, _, values = _word_shapes(u8, np.zeros(len(u8), np.int32), tail)
+        shapes, a = np.concatenate([last, shapes]), b
+        shape_grams(shapes, np.zeros(len(shapes), np.int32))
+        tail, last = np.concatenate([tail, values])[-2:], shapes[-2:]
     return out
 
 

@@ -47,19 +47,19 @@ def best_bounds(counts: np.ndarray, buckets: int) -> list[int]:
     return out[::-1]
 
 
-def pieces(docs: DataFrame, max_len: int, text_col: str = "text") -> DataFrame:
-    """doc_id, piece, first_word, n_words, _h: cuts of each document's words; _h orders a bucket."""
+def pieces(docs: DataFrame, max_len: int, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, first_word, n_words, _h and the columns to keep: cuts of each document's words; _h orders a bucket."""
     n = c.n_words(F.col(text_col))
-    rows = docs.select("doc_id", n.alias("_n"), F.xxhash64("doc_id", text_col).alias("_d")).where("_n > 0")
+    rows = docs.select("doc_id", *keep, n.alias("_n"), F.xxhash64("doc_id", text_col).alias("_d")).where("_n > 0")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / max_len))))
     first = F.col("piece") * max_len
-    return rows.select("doc_id", "piece", first.alias("first_word"), F.least(F.lit(max_len).cast("long"), F.col("_n") - first).alias("n_words"), F.xxhash64("_d", "piece").alias("_h"))
+    return rows.select("doc_id", *keep, "piece", first.alias("first_word"), F.least(F.lit(max_len).cast("long"), F.col("_n") - first).alias("n_words"), F.xxhash64("_d", "piece").alias("_h"))
 
 
-def pack(docs: DataFrame, max_len: int = 2048, buckets: int = 16, budget: int = 16_384, text_col: str = "text") -> DataFrame:
-    """doc_id, piece, first_word, n_words, bucket, bucket_len, batch, slot, padding: one row per piece."""
+def pack(docs: DataFrame, max_len: int = 2048, buckets: int = 16, budget: int = 16_384, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, first_word, n_words, bucket, bucket_len, batch, slot, padding and the columns to keep: one row per piece."""
     spark = docs.sparkSession
-    rows = c.spool(pieces(docs, max_len, text_col))
+    rows = c.spool(pieces(docs, max_len, text_col, keep))
     counts = np.zeros(max_len + 1, np.int64)
     for r in rows.groupBy("n_words").count().collect():  # a row for each length up to max_len
         counts[r.n_words] = r["count"]
@@ -70,11 +70,22 @@ def pack(docs: DataFrame, max_len: int = 2048, buckets: int = 16, budget: int =
     placed = c.spool(rows.join(F.broadcast(table), "n_words"))  # max_len rows
     ranked = c.bucket_rank(placed, ["bucket"], F.col("_h"))
     return ranked.select(
-        "doc_id", "piece", "first_word", "n_words", "bucket", "bucket_len",
+        "doc_id", *keep, "piece", "first_word", "n_words", "bucket", "bucket_len",
         F.floor(F.col("rank") / F.col("per_batch")).alias("batch"), (F.col("rank") % F.col("per_batch")).alias("slot"), (F.col("bucket_len") - F.col("n_words")).alias("padding"),
     )
 
 
+def batches(docs: DataFrame, max_len: int = 2048, buckets: int = 16, budget: int = 16_384, text_col: str = "text") -> DataFrame:
+    """bucket, bucket_len, batch, pieces (slot, doc_id, piece, words, in order of slots): the batches themselves, each of `budget` words at most."""
+    rows = c.spool(docs.select("doc_id", c.column(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("_t")))
+    placed = pack(rows, max_len, buckets, budget, "text", ("_t",))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = rows.select("_t", words.alias("_w")).where(F.size("_w") > 0)
+    cut = cut.select("_t", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / max_len).cast("int")), lambda i: F.slice("_w", i * max_len + 1, max_len))).alias("piece", "words"))
+    slot = F.struct("slot", "doc_id", "piece", "words")
+    return placed.join(cut.withColumn("piece", F.col("piece").cast("long")), ["_t", "piece"]).groupBy("bucket", "bucket_len", "batch").agg(F.sort_array(F.collect_list(slot)).alias("pieces"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of every piece of every document."""
     return pack(c.documents(spark, sf_dir))

@@ -101,20 +101,29 @@ RULES: dict[str, tuple[Callable[[Column], Column], list[float]]] = {
 }
 
 
-def _log_binomial_cdf(n: Column, k: Column, p: float, most: int = 20_000) -> Column:
-    """log P(Bin(n, p) <= k) for k < n * p, summed term by term; beyond `most` terms the Chernoff bound, which is never smaller."""
-    odds = math.log(p / (1 - p))
+def _stirling_error(x: Column) -> Column:
+    """log x! less Stirling's formula, for x >= 1: tabled up to 15, then its series, which is exact to the last digits there."""
+    table = F.array(*[F.lit(math.lgamma(i + 1) - ((i + 0.5) * math.log(i) - i + 0.5 * math.log(2 * math.pi))) for i in range(1, 16)])
+    y = x * x
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680) / y) / y) / y) / x
+    return F.when(x <= 15, F.get(table, (x - 1).cast("int"))).otherwise(series)
+
+
+def _log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
+    """log P(Bin(n, p) <= k) for k < n * p, exact at every size: the term of k in closed form, and the sum of the terms below in
+    units of it, as far down as one can still add to a double (some ten standard deviations)."""
+    q = 1 - p
+    x, rest = F.greatest(k, F.lit(1)).cast("double"), (n - F.greatest(k, F.lit(1))).cast("double")
+    top = _stirling_error(n.cast("double")) - _stirling_error(x) - _stirling_error(rest) + 0.5 * F.log(n / (2 * math.pi * x * rest)) - x * F.log(x / (n * p)) - rest * F.log(rest / (n * q))
 
     def step(acc: Column, j: Column) -> Column:
-        term = acc["term"] + F.log((n - j + 1) / j) + odds
-        top = F.greatest(term, acc["total"])
-        return F.struct(term.alias("term"), (top + F.log1p(F.exp(-F.abs(term - acc["total"])))).alias("total"))
+        term = acc["term"] * (j * q) / ((n - j + 1) * p)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    first = n * math.log1p(-p)
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), F.least(k, F.lit(most)).cast("long"))).otherwise(F.array().cast("array<long>"))
-    exact = F.aggregate(terms, F.struct(first.cast("double").alias("term"), first.cast("double").alias("total")), step, lambda acc: acc["total"])
-    q = k / n
-    return F.when(k <= most, exact).otherwise(-n * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p))))
+    far = F.greatest(F.lit(1).cast("long"), k - F.ceil(10 * F.sqrt(n * (p * q))) - 50)
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    total = F.aggregate(F.sequence(F.greatest(k, F.lit(1)).cast("long"), far, F.lit(-1).cast("long")), one, step, lambda acc: acc["total"])
+    return F.when(k < 1, n * math.log1p(-p)).otherwise(top + F.log(total))
 
 
 def thresholds(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", risk: float = 0.03, delta: float = 0.05) -> DataFrame:
@@ -152,6 +161,7 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    cuts = c.spool(thresholds(with_statistics(docs).select("doc_id", "_s"), labels))
-    return judge(with_statistics(docs), cuts).where("_kept").select(*docs.columns)
+    """The documents that the rules keep, with their own columns. Statistics are taken once, for thresholds and verdicts."""
+    rows = c.spool(with_statistics(docs.select(c.boxed(docs), "doc_id", "text", "lang")).select("row", "doc_id", "_s"))
+    cuts = c.spool(thresholds(rows, labels))
+    return c.unboxed(judge(rows, cuts).where("_kept"), docs)

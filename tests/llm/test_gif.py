@@ -62,6 +62,73 @@ def test_code_that_names_itself():
     assert gif.lzw_decode(gif.lzw_encode(bytes([1] * 6), 2), 2, 6) == bytes([1] * 6)
 
 
+def plain_lzw(body, bits):
+    """Code stream to indices with a table of tuples, one code at a time."""
+    value = int.from_bytes(body, "little")
+    clear = 1 << bits
+    out, width, last, table = [], bits + 1, None, {}
+    while True:
+        code = value & ((1 << width) - 1)
+        value >>= width
+        if code == clear:
+            table, width, last = {i: (i,) for i in range(clear)} | {clear: (), clear + 1: ()}, bits + 1, None
+            continue
+        if code == clear + 1:
+            return out
+        entry = table[code] if code in table else (*last, last[0])
+        out += entry
+        if last is not None and len(table) < 4096:
+            table[len(table)] = (*last, entry[0])
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        last = entry
+
+
+def plain_decode(data):
+    """A decoder of its own for GIFs without local palettes, transparency or interlacing: (delay, box, colours) of each image."""
+    n = 2 << (data[10] & 7)
+    palette = [data[13 + 3 * i : 16 + 3 * i] for i in range(n)]
+    at, delay, out = 13 + 3 * n, 0, []
+    while data[at] != 0x3B:
+        box = struct.unpack_from("<HHHH", data, at + 1) if data[at] == 0x2C else None
+        if box is None and data[at + 1] == 0xF9:
+            delay = data[at + 4] + 256 * data[at + 5]
+        at += 10 if box else 2
+        bits = data[at]
+        at += 1 if box else 0
+        body = b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        if box:
+            out.append((delay, box, b"".join(palette[i] for i in plain_lzw(body, bits))))
+    return out
+
+
+@pytest.mark.parametrize("data", [b" " * 192, bytes(range(256)) * 3, b"on the and tion, " * 4800, np.random.default_rng(2).integers(0, 256, 192 * 300).astype(np.uint8).tobytes()])
+def test_stored_media_in_another_decoder(data):
+    data = data.ljust(-(-len(data) // 192) * 192)
+    frames = plain_decode(gif.store_payload(data))
+    assert b"".join(colours[::3] for _, _, colours in frames) == data and all(c[::3] == c[1::3] == c[2::3] for _, _, c in frames)
+    assert all(delay == 10 for delay, _, _ in frames)
+    assert [f.box for f in gif.decode(gif.store_payload(data))] == [box for _, box, _ in frames]
+
+
+def test_number_of_rows_and_hostile_headers(spark):
+    red = control(1, delay=0) + image(gif.lzw_encode(bytes([1] * 4), 2), 2, 2)
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x81, 0, 0) + PALETTE + red + b"\x3b"
+    media = {n: HEAD + red * n + b"\x3b" for n in (0, 1, 16, 17, 32)} | {100: huge, 101: HEAD + red * 16 + b"\x2c\0", 102: b"", 103: HEAD[:9]}
+    df = spark.createDataFrame([(i, bytearray(m)) for i, m in media.items()], "doc_id long, media binary")
+    got = {}
+    for r in gif.frames_of(df, "doc_id", "media").collect():
+        got.setdefault(r.id, []).append((r.frame_no, r.status.split(":")[0], r.start_ms))
+    for n in (1, 16, 17, 32):
+        assert sorted(got[n]) == [(k, "ok", 0) for k in range(n)]
+    assert got[0] == [(None, "no frame", None)] and got[102] == got[103] == got[100] == [(None, "error", None)]
+    assert sorted(x for x in got[101] if x[0] is not None) == [(k, "ok", 0) for k in range(16)] and (None, "error", None) in got[101] and len(got[101]) == 17
+
+
 def test_frames_table(spark):
     good = HEAD + control(1) + image(gif.lzw_encode(bytes([1] * 4), 2), 2, 2) + b"\x3b"
     df = spark.createDataFrame([(1, bytearray(good), 0), (2, None, 0), (3, bytearray(b"no gif"), 0), (4, bytearray(good[:-9]), 0)], "doc_id long, media binary, frame_no int")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,13 +60,22 @@ def test_cases_against_brute_force(spark):
     assert got(df) == brute(rows)
 
 
-@pytest.mark.parametrize("most", [8, 40])
-def test_large_regions(spark, most):
-    rows = list(enumerate([t for k in range(3) for t in near_copies(90, k)]))
+@pytest.mark.parametrize(("most", "near"), [(8, 4), (40, 4096)])
+def test_large_regions(spark, most, near):
+    """Far and near copies, chains of copies of copies, and unlinked texts around one passage."""
+    r = random.Random(3)
+    chain = [f"c{i}" for i in range(60)]
+    texts = [t for k in range(3) for t in near_copies(60, k)]
+    for i in range(60):
+        chain = chain[2:] + [f"d{i}", f"e{i}"]
+        texts.append(" ".join(chain))
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts += [" ".join(f"q{r.randrange(10**6)}" for _ in range(30)) + " " + passage for _ in range(40)]
+    rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     c.bounded_arrow(spark)
     sets = jaccard._sets(docs)
-    roots = {r.node: r.root for r in jaccard.components(c.spool(jaccard.links(docs, sets, most))).collect()}
+    roots = {r.node: r.root for r in jaccard.components(c.spool(jaccard.links(docs, sets, jaccard._keys(sets), most, near))).collect()}
     key = {r.doc_id: r.key for r in sets.where("n is not null").collect()}
     want = brute(rows)
     ours, theirs = {}, {}
@@ -75,6 +85,26 @@ def test_large_regions(spark, most):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_parts_hold_every_possible_link():
+    """Labels against all pairs, with pivots, windows and recursion."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**62, rng.integers(20, 200)).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(len(base)) > 0.06], rng.integers(0, 2**62, 4).astype(np.uint64)])) for _ in range(rng.integers(1, 12))]
+    n = np.array([len(x) for x in sets])
+    counts = np.stack([np.frombuffer(jaccard._counts(x), np.uint8) for x in sets])
+    label = jaccard._joined_parts(n, counts)
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 4 * both >= 3 * (len(a) + len(sets[j]) - both):
+                linked += 1
+                assert label[i] == label[j]
+    assert linked > 50 and len(set(label.tolist())) > 30
+
+
 def test_query_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
@@ -87,5 +117,5 @@ def test_null_ids_repeats_and_empty(spark):
     rows = sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str)
     assert rows == sorted([(5, 36, 5), (5, 36, 5), (None, 36, 5), (None, 1, None), (7, 0, 7)], key=str)
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
-    kept = jaccard.one_of_each(df.withColumn("n", F.lit(1)))
-    assert kept.columns == ["doc_id", "text", "n"] and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id = 7").count() == 1
+    kept = jaccard.one_of_each(df.withColumn("n", F.lit(1)).withColumn("row", F.lit(2)).withColumn("a.b", F.lit(3)))
+    assert kept.columns == ["doc_id", "text", "n", "row", "a.b"] and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id = 7").count() == 1

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan.llm import _common as c
 from larkspan.llm import linedup
 
 HAS = re.compile(r"[^\x20\x09-\x0D]")
@@ -77,8 +78,8 @@ def test_doubling_decides_the_runs(spark, monkeypatch):
 def test_hot_lines_take_the_broadcast_path(spark, monkeypatch):
     r = random.Random(9)
     rows = [(i, "\n".join(r.choice(["hot", "hot", f"cold {r.randrange(40)}"]) for _ in range(9))) for i in range(50)]
-    monkeypatch.setattr(linedup, "HOT_SHARE", 10)
-    monkeypatch.setattr(linedup, "max", lambda a, b: a, raising=False)
+    monkeypatch.setattr(c, "HOT_SHARE", 10)
+    monkeypatch.setattr(c, "max", lambda a, b: a, raising=False)
     check(spark, rows, 2)
 
 

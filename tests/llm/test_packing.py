@@ -60,3 +60,17 @@ def test_query_matches_brute_force_padding(spark):
             counts[min(2048, n - at)] += 1
     got = packing.op6_packing(spark, "/root/testdata/sf0.01").agg(F.sum("padding"), F.count("*"), F.countDistinct("bucket")).first()
     assert tuple(got) == (padding(counts, packing.best_bounds(counts, 16)), counts.sum(), 16)
+
+
+def test_batches_hold_every_word(spark):
+    texts = [None, "", " \n", "a", "a", " ".join(f"v{i}" for i in range(1000)), *(" ".join(f"x{n}y{i}" for i in range(n)) for n in range(1, 60)), "long" * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "y y y"), (4, "a")], "doc_id long, text string").withColumn("_t", F.lit("clash"))
+    found = defaultdict(list)
+    for r in packing.batches(df, max_len=64, buckets=4, budget=200).collect():
+        assert [p.slot for p in r.pieces] == list(range(len(r.pieces))) and len(r.pieces) * r.bucket_len <= max(200, r.bucket_len)
+        for p in r.pieces:
+            assert len(p.words) <= r.bucket_len
+            found[p.doc_id].append((p.piece, p.words))
+    got = {d: [w for _, ws in sorted(x) for w in ws] for d, x in found.items()}
+    assert got.pop(None) == ["y"] * 3 and got.pop(4) == ["a", "a"]
+    assert got == {i: t.split() for i, t in enumerate(texts) if t and t.split() and i != 4}

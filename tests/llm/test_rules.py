@@ -1,5 +1,5 @@
 import re
-from math import comb, log
+from math import comb, exp, lgamma, log, log1p
 
 from pyspark.sql import functions as F
 
@@ -36,6 +36,17 @@ def test_binomial(spark):
         assert abs(got - log(sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)))) < 1e-9
 
 
+def test_binomial_at_every_size(spark):
+    """Sums of logarithms of all terms, on both sides of any number of terms."""
+    for n, k in ((4_100_000, 19_999), (4_100_000, 20_001), (9_000_000, 25_000), (50_000_000, 240_000), (400, 1), (400, 0), (3500, 16), (60_000, 299)):
+        p = 0.005
+        terms = [lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log1p(-p) for j in range(max(0, k - 60_000), k + 1)]
+        top = max(terms)
+        want = top + log(sum(exp(t - top) for t in terms))
+        (got,) = spark.range(1).select(rules._log_binomial_cdf(F.lit(n).cast("long"), F.lit(k).cast("long"), p).alias("x")).first()
+        assert abs(got - want) < 1e-6 * max(1, abs(want)), (n, k)
+
+
 def stats(spark, rows):
     fields = "n_words long, word_chars long, n_symbols long, n_repeat_words long, n_upper long, n_lines long, n_dup_lines long, base_failed boolean, stratum string"
     return spark.createDataFrame([(i, (100, 500, sym, 0, 0, 10, 0, base, st)) for i, sym, base, st in rows], f"doc_id long, _s struct<{fields}>")
@@ -69,5 +80,7 @@ def test_query_keeps_good_documents(spark):
 def test_kept_documents_have_their_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    out = rules.kept_documents(docs, labels)
-    assert out.columns == docs.columns and 0 < out.count() < docs.count()
+    extra = docs.withColumn("_s", F.lit(1)).withColumn("_kept", F.lit(2)).withColumn("row", F.lit(3)).withColumn("a.b", F.lit(4))
+    out = rules.kept_documents(extra, labels)
+    assert out.columns == extra.columns and 0 < out.count() < docs.count()
+    assert {(r["_s"], r["_kept"], r.row, r["a.b"]) for r in out.collect()} == {(1, 2, 3, 4)}
