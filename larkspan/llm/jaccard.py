@@ -16,7 +16,9 @@
    2 tau, to others; points within tau of a cell's pivot are linked through it and stay only if a point beyond tau could reach them. Cells are
    regions again and join recursively. A cell with over three quarters of its region (pivots do not tell its points apart) is joined
    in pairs of blocks instead.
-5. Every task gives a spanning forest of its exact links; connected components are found over all forests.
+5. Every task gives a spanning forest of its exact links. Regions overlap where many points are near each other, so step 4 first takes
+   each point in its largest region only; then connected components are found, and regions go through step 3 again for
+   what can be linked across components. Cells of large regions do the same, until no region is left.
 
 The order of step 2 affects speed only; all links are decided by exact intersection sizes of
 64-bit shingle hashes. The list of frequent shingles is a bounded hint of at most `HOT` entries.
@@ -243,8 +245,8 @@ def _forest(_group: int, keys: list[int], sets: list[np.ndarray]) -> Iterator[tu
                 yield keys[i], keys[j]
 
 
-def _joined_parts(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Labels of the components of the graph of possible links: sizes within 3/4, and counts that differ by a seventh of both sizes at most."""
+def _joined_parts(n: np.ndarray, counts: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Labels of the components of the graph of possible links between points not known to be in one component: sizes within 3/4, and counts that differ by a seventh of both sizes at most."""
     label = np.arange(len(n))
     counts = counts.astype(np.int16)
 
@@ -252,7 +254,7 @@ def _joined_parts(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
         for lo in range(0, len(a), 32):
             part = a[lo : lo + 32]
             apart = np.abs(counts[part][:, None] - counts[b][None]).sum(2, dtype=np.int32)
-            i, j = np.nonzero((7 * apart <= n[part][:, None] + n[b][None]) & (4 * np.minimum(n[part][:, None], n[b][None]) >= 3 * np.maximum(n[part][:, None], n[b][None])))
+            i, j = np.nonzero((known[part][:, None] != known[b][None]) & (7 * apart <= n[part][:, None] + n[b][None]) & (4 * np.minimum(n[part][:, None], n[b][None]) >= 3 * np.maximum(n[part][:, None], n[b][None])))
             link(part[i], b[j])
 
     def link(u: np.ndarray, v: np.ndarray) -> None:
@@ -288,14 +290,14 @@ def _joined_parts(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _subregions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, x, n, counts) sorted by g -> g, x: what can be linked within each region, named by the hash of its points."""
+    """Rows (g, flat, x, n, root, counts) sorted by g -> g, x, flat: what can be linked within each region, named by the hash of its points."""
     held: list[tuple[np.ndarray, ...]] = []
 
-    def work(x: np.ndarray, n: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def work(x: np.ndarray, n: np.ndarray, root: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         x, at = np.unique(x, return_index=True)
-        if len(x) < 2:
+        if len(x) < 2 or (root[at] == root[at[0]]).all():
             return
-        label = _joined_parts(n[at], counts[at])
+        label = _joined_parts(n[at], counts[at], root[at])
         order = np.argsort(label, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], np.diff(label[order]) != 0, [True]]))
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -304,16 +306,16 @@ def _subregions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield np.full(hi - lo, xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)), keys
 
     def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        g = cols[0]
+        g, flat = cols[:2]
         edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-        out = [r for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for r in work(*(v[lo:hi] for v in cols[1:]))]
+        out = [(*r, np.full(len(r[0]), flat[lo])) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for r in work(*(v[lo:hi] for v in cols[2:]))]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], names=["g", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], names=["g", "x", "flat"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = (*(batch.column(i).to_numpy() for i in range(3)), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BUCKETS))
+        cols = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BUCKETS))
         held.append(cols)
         if cols[0][0] == cols[0][-1] and held[0][0][0] == cols[0][0]:
             continue  # one region so far
@@ -325,6 +327,22 @@ def _subregions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush([np.concatenate(v) for v in zip(*held, strict=True)])
 
 
+def _narrowed(regions: DataFrame, points: DataFrame, near: int) -> DataFrame:
+    """regions: g, x, flat; points: x, n, counts, root -> the same (spooled) of what can be linked across roots. A region of more than `near` points goes whole, if it has two roots."""
+    regions = c.spool(regions)
+    sizes = c.spool(regions.groupBy("g").agg(F.count("*").alias("points")).where("points > 1"))
+    rows = regions.join(sizes, "g").join(points, "x")
+    small = rows.where(F.col("points") <= near).select("g", "flat", "x", "n", "root", "counts").repartition("g").sortWithinPartitions("g")
+    out = small.mapInArrow(_subregions, "g long, x long, flat boolean")
+    if sizes.where(F.col("points") > near).limit(1).count():
+        large = rows.where(F.col("points") > near)
+        mixed = large.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g")
+        out = out.unionByName(large.select("g", "x", "flat").join(mixed, "g"))
+    out = c.spool(out.groupBy("g", "x").agg(F.max("flat").alias("flat")))
+    c.drop_spool(regions, sizes)
+    return out
+
+
 def _texts(docs: DataFrame, keys: DataFrame, used: DataFrame) -> DataFrame:
     """x, z: the compressed texts of the used keys."""
     ids = c.spool(used.join(keys.where("least is not null").select("key", F.col("least").alias("doc_id")), "key"))
@@ -359,8 +377,8 @@ def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.bool_()], strict=True)], names=["g", "x", "q", "pivot", "far", "linked"])
 
 
-def _voronoi(regions: DataFrame, texts: DataFrame, most: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """regions: g, x, size (spooled) -> links to pivots (u, v); cells that are regions again (g, x); blocks of cells that pivots do not part (g, x)."""
+def _voronoi(regions: DataFrame, texts: DataFrame, most: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """regions: g, x, size (spooled) -> links to pivots (u, v); the cells as regions (g, x, flat), flat where pivots do not part a region."""
     chosen = regions.groupBy("g").agg(F.max("size").alias("size"), F.array(*[F.min_by("x", F.xxhash64("x", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]).alias("qs"))
     parts = F.ceil(F.col("size") / most).cast("long")
     points = regions.select("g", "x", F.pmod(F.xxhash64("x", F.lit(turn)), parts).alias("part"), F.lit(None).cast("int").alias("q"))
@@ -369,49 +387,68 @@ def _voronoi(regions: DataFrame, texts: DataFrame, most: int, turn: int) -> tupl
     met = c.spool(rows.repartition("h").sortWithinPartitions("h", F.asc_nulls_last("q")).mapInArrow(_to_pivots, "g long, x long, q int, pivot long, far double, linked boolean"))
     links = met.where("linked and pivot <> x").select(F.col("pivot").alias("u"), F.col("x").alias("v"))
     edge = met.where("not linked").groupBy("g", "q").agg(F.min("far").alias("edge"))
-    cells = c.spool(met.join(edge, ["g", "q"]).where(F.col("far") >= F.col("edge") - TAU - 1e-9).join(chosen.select("g", "size"), "g").select("g", "q", "x", F.col("size").alias("parent")))
-    sizes = cells.groupBy("g", "q").agg(F.count("*").alias("cell"), F.max("parent").alias("parent"))
-    flat = c.spool(sizes.where("4 * cell > 3 * parent").select("g", "q", F.ceil(F.col("cell") / (most // 2)).cast("long").alias("blocks")))
-    name = F.xxhash64("g", "q", F.lit(turn)).alias("g")
-    again = cells.join(flat, ["g", "q"], "left_anti").select(name, "x")
-    block = F.pmod(F.xxhash64("x", F.lit(-1 - turn)), F.col("blocks"))
-    dealt = cells.join(flat, ["g", "q"]).select("g", "q", "x", block.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    return links, again, dealt.select(F.xxhash64("g", "q", F.lit(turn), F.least("b", "other"), F.greatest("b", "other")).alias("g"), "x")
-
-
-def _exact(regions: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """u, v: links among the points of each region (g, x), recursively."""
-    found, turn = None, 0
-    while True:
-        regions = c.spool(regions)
-        sizes = regions.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
-        sized = c.spool(regions.join(sizes, "g"))
-        part = _grouped(sized.where(F.col("size") <= most).select("g", "x"), texts, _forest, ["u", "v"])
-        found = part if found is None else found.unionByName(part)
-        large = sized.where(F.col("size") > most)
-        if not large.limit(1).count():
-            return found
-        links, regions, blocks = _voronoi(c.spool(large), texts, most, turn)
-        found = found.unionByName(links).unionByName(_grouped(blocks, texts, _forest, ["u", "v"]))
-        turn += 1
+    cells = met.join(edge, ["g", "q"]).where(F.col("far") >= F.col("edge") - TAU - 1e-9).select("g", "q", "x")
+    sizes = cells.groupBy("g", "q").agg(F.count("*").alias("cell")).join(chosen.select("g", "size"), "g").select("g", "q", (4 * F.col("cell") > 3 * F.col("size")).alias("flat"))
+    return links, cells.join(sizes, ["g", "q"]).select(F.xxhash64("g", "q", F.lit(turn)).alias("g"), "x", "flat")
+
+
+def _blocks(regions: DataFrame, most: int, turn: int) -> DataFrame:
+    """regions: g, x, size -> g, x: pairs of blocks of about half of `most` points."""
+    n = F.ceil(F.col("size") / (most // 2)).cast("long")
+    dealt = regions.select("g", "x", F.pmod(F.xxhash64("x", F.lit(-1 - turn)), n).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    return dealt.select(F.xxhash64("g", F.least("b", "other"), F.greatest("b", "other")).alias("g"), "x")
+
+
+def _exact(regions: DataFrame, texts: DataFrame, most: int, turn: int) -> tuple[DataFrame, DataFrame | None]:
+    """regions: g, x, flat -> links (u, v) and what is left to do as regions (g, x, flat). Small regions are joined whole, large ones meet pivots, large flat ones are joined in blocks."""
+    sizes = regions.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+    sized = c.spool(regions.join(sizes, "g"))
+    found, left = _grouped(sized.where(F.col("size") <= most).select("g", "x"), texts, _forest, ["u", "v"]), None
+    large = sized.where(F.col("size") > most)
+    kinds = {r.flat for r in large.select("flat").distinct().collect()}
+    if False in kinds:
+        links, left = _voronoi(c.spool(large.where("not flat")), texts, most, turn)
+        found = found.unionByName(links)
+    if True in kinds:
+        found = found.unionByName(_grouped(_blocks(large.where("flat"), most, turn), texts, _forest, ["u", "v"]))
+    return found, left
+
+
+def _home(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """regions: g, x, flat -> each point in its largest region only; and the regions that this leaves incomplete."""
+    sizes = regions.groupBy("g").agg(F.count("*").alias("size"))
+    home = c.spool(regions.join(sizes, "g").groupBy("x").agg(F.max_by("g", F.struct("size", "g")).alias("g")))
+    whole = home.groupBy("g").agg(F.count("*").alias("here")).join(sizes, "g").where("here = size").select("g")
+    return home.withColumn("flat", F.lit(False)), regions.join(whole, "g", "left_anti")
 
 
 def links(docs: DataFrame, sets: DataFrame, keys: DataFrame, most: int = 512, near: int = 4096) -> DataFrame:
-    """u, v: links whose components are those of all pairs of keys within tau. near: points of a region whose counts are joined in one task; more go on to step 4."""
+    """u, v: links whose components are those of all pairs of keys within tau; spooled. near: points of a region whose counts are joined in one task; more go on to step 4."""
     often = sets.where("times is not null").groupBy("key").agg(F.sum("times").alias("times")).where("times >= 32").orderBy(F.desc("times"), "key").limit(HOT).toPandas()
     hot = often["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     prefixes = _prefixes(docs, hot[order], often["times"].to_numpy(np.int64)[order])
     stars = prefixes.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(_stars, "p long, x long")
     pairs = c.spool(stars.distinct())
-    sizes = c.spool(pairs.groupBy("p").agg((F.count("*") + 1).alias("size")))
-    members = pairs.unionByName(sizes.select("p", F.col("p").alias("x"))).join(sizes, "p")
+    members = pairs.unionByName(pairs.select("p", F.col("p").alias("x")).distinct()).select(F.col("p").alias("g"), "x", F.lit(False).alias("flat"))
     points = keys.where("least is not null").select(F.col("key").alias("x"), F.col("size").alias("n"), "counts")
-    rows = members.where(F.col("size") <= near).join(points, "x").select(F.col("p").alias("g"), "x", "n", "counts").repartition("g").sortWithinPartitions("g")
-    regions = rows.mapInArrow(_subregions, "g long, x long").distinct()
-    regions = c.spool(regions.unionByName(members.where(F.col("size") > near).select(F.col("p").alias("g"), "x")))
+    regions = _narrowed(members, points.withColumn("root", F.col("x")), near)
     texts = _texts(docs, keys, c.spool(regions.select(F.col("x").alias("key")).distinct()))
-    return _exact(regions, texts, most)
+    now, rest = _home(regions)
+    found, turn = None, 0
+    while True:
+        got, left = _exact(now, texts, most, turn)
+        got = c.spool(got)
+        found = got if found is None else found.unionByName(got)
+        if rest is not None:
+            left = rest if left is None else left.unionByName(rest)
+        if left is None:
+            return c.spool(found)
+        roots = components(found)
+        rooted = points.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+        now, rest, turn = _narrowed(left, rooted, near), None, turn + 1
+        if not now.limit(1).count():
+            return c.spool(found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -419,7 +456,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     c.bounded_arrow(docs.sparkSession)
     sets = _sets(docs)
     keys = _keys(sets)
-    roots = components(c.spool(links(docs, sets, keys)))
+    roots = components(links(docs, sets, keys))
     rooted = c.spool(keys.select("key", "n", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
     whole = c.spool(rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id")))
     named = c.spool(c.attach(rooted.withColumnRenamed("n", "rows"), whole, ["root"]).select("key", F.col("rows").alias("n"), "component_id"))

@@ -75,7 +75,7 @@ def test_large_regions(spark, most, near):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     c.bounded_arrow(spark)
     sets = jaccard._sets(docs)
-    roots = {r.node: r.root for r in jaccard.components(c.spool(jaccard.links(docs, sets, jaccard._keys(sets), most, near))).collect()}
+    roots = {r.node: r.root for r in jaccard.components(jaccard.links(docs, sets, jaccard._keys(sets), most, near)).collect()}
     key = {r.doc_id: r.key for r in sets.where("n is not null").collect()}
     want = brute(rows)
     ours, theirs = {}, {}
@@ -94,7 +94,7 @@ def test_parts_hold_every_possible_link():
         sets += [np.unique(np.concatenate([base[rng.random(len(base)) > 0.06], rng.integers(0, 2**62, 4).astype(np.uint64)])) for _ in range(rng.integers(1, 12))]
     n = np.array([len(x) for x in sets])
     counts = np.stack([np.frombuffer(jaccard._counts(x), np.uint8) for x in sets])
-    label = jaccard._joined_parts(n, counts)
+    label = jaccard._joined_parts(n, counts, np.arange(len(n)))
     linked = 0
     for i, a in enumerate(sets):
         for j in range(i):
