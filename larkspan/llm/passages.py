@@ -1,9 +1,12 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
-Seeds are all runs of k words, so two texts with k equal words in a row share one. Occurrences of a seed are joined with its first occurrence (least id, then place), never with each other, so
-a seed in thousands of documents makes a link for each and no more. Runs of 16, 32 and `min_words` words whose seeds all occur
+Seeds are runs of k words: those whose hash falls into one part of `SHARE`, whatever is around them, and where none of
+`WINDOW` neighbouring runs does, the least of them. So two texts with k + WINDOW - 1 equal words in a row share a seed surely,
+and edited texts share every seed that the edits leave whole. Occurrences of a seed are joined with its first occurrence (least id, then place), never with each other, so
+a seed in thousands of documents makes a link for each and no more. Runs of consecutive seeds over `SPANS` words whose seeds all occur
 earlier, but with first occurrences in several places, are joined with the first occurrence of the whole run too, so documents
-that share it meet although earlier ones hold pieces of it. For every pair of documents the matches are chained in
+that share it meet although earlier ones hold pieces of it. Seeds that are frequent in a bounded sample of documents are dealt by document too, and
+the first occurrences of the parts then meet, so no task sees all occurrences of one. For every pair of documents the matches are chained in
 order in both, a chain's score being its seeds less a cost for the words skipped between them; a Fenwick tree over places
 in the second text finds the best predecessor. Chains are aligned on the words: gaps by longest common subsequence, ends by
 extension with an x-drop, so edited words do not end a passage. What has at least `min_words` words, of which `identity`
@@ -29,34 +32,39 @@ from pyspark.sql import functions as F
 from . import _common as c
 from ._words import rolling, word_hashes
 
-K, WINDOW = 8, 8
+K, WINDOW, SHARE = 6, 16, 4
+SPANS = (14, 28, 38, 44)  # words from the first seed of a run to the last; 44 and a seed are 50 words
+SAMPLE, SALTS = 4000, 64  # documents that tell frequent seeds, parts that these are dealt to
 GAP = 0.02  # of a seed, for each word skipped in either text
 DROP = 12  # words of score that an extension may lose
 
 
-def minimizers(h: np.ndarray, k: int = K, window: int = WINDOW) -> np.ndarray:
-    """Places of the seeds among the word hashes h: the least k-mer hash of each window, the first of equal ones."""
-    kmers = rolling(h, k)
-    if not len(kmers):
-        return np.zeros(0, np.int64)
-    if len(kmers) <= window:
-        return np.array([kmers.argmin()])
-    least = np.lib.stride_tricks.sliding_window_view(kmers, window).argmin(1) + np.arange(len(kmers) - window + 1)
-    return np.unique(least)
+def seeds_at(kmers: np.ndarray, window: int = WINDOW, share: int = SHARE) -> np.ndarray:
+    """Places of the seeds among the hashes of all runs of k words."""
+    own = np.flatnonzero(kmers % np.uint64(share) == 0)
+    edges = np.concatenate([[-1], own, [len(kmers)]])
+    wide = np.flatnonzero(np.diff(edges) > min(window, max(1, len(kmers))))
+    more = []
+    for a, b in zip((edges[wide] + 1).tolist(), edges[wide + 1].tolist(), strict=True):  # rare
+        part = kmers[a:b]
+        if len(part) <= window:
+            more.append(np.array([a + part.argmin()]))
+        else:
+            more.append(np.unique(np.lib.stride_tricks.sliding_window_view(part, window).argmin(1) + np.arange(len(part) - window + 1)) + a)
+    return np.unique(np.concatenate([own, *more])) if more else own
 
 
 def _seeds(docs: DataFrame) -> DataFrame:
-    """h, doc, at: every k-mer of every document."""
+    """h, doc, at: the seeds of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hs, ds, ats, size = [], [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                h = word_hashes(text)
-                seeds = rolling(h, K)
-                at = np.arange(len(seeds))
+                kmers = rolling(word_hashes(text), K)
+                at = seeds_at(kmers)
                 if len(at):
-                    hs.append(seeds.view(np.int64))
+                    hs.append(kmers[at].view(np.int64))
                     ds.append(np.full(len(at), doc, np.int64))
                     ats.append(at)
                     size += len(at)
@@ -70,48 +78,87 @@ def _seeds(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, doc long, at int")
 
 
+def _frequent(docs: DataFrame, most: int = 1000) -> list[int]:
+    """Seeds that are more than a thousandth of all seeds of about SAMPLE documents: `most` at most. They only decide how occurrences are dealt to tasks."""
+    share = SAMPLE / max(1, docs.count())
+    u = F.xxhash64("doc_id", F.lit(9)) / F.lit(2.0**64) + 0.5
+    counts = c.spool(_seeds(docs.where(u <= share)).groupBy("h").agg(F.count("*").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = [r.h for r in counts.where(F.col("n") > max(20, total // most)).collect()]
+    c.drop_spool(counts)
+    return out
+
+
 def _first_occurrence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, doc, at -> x, y, px, py: each occurrence with the first of its h."""
-    last = (None, 0, 0)
+    """Rows sorted by h, salt, doc, at -> x, y, px, py, h: each occurrence with the first of its h and salt (h null); firsts of salted ones with their h (y, py null)."""
+    last = (None, 0, 0, 0)
     for batch in batches:
-        h, doc, at = (batch.column(i).to_numpy() for i in range(3))
+        h, salt, doc, at = (batch.column(i).to_numpy() for i in range(4))
         if not len(h):
             continue
-        new = np.concatenate([[last[0] is None or h[0] != last[0]], h[1:] != h[:-1]])
+        new = np.concatenate([[last[0] is None or h[0] != last[0] or salt[0] != last[3]], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
         start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
         y = np.where(start < 0, last[1], doc[np.maximum(start, 0)])
         py = np.where(start < 0, last[2], at[np.maximum(start, 0)]).astype(np.int32)
-        last = (h[-1], y[-1], py[-1])
+        last = (h[-1], y[-1], py[-1], salt[-1])
         other = (doc != y) | (at != py)
-        if other.any():
-            yield pa.RecordBatch.from_arrays([pa.array(v[other]) for v in (doc, y, at, py)], names=["x", "y", "px", "py"])
-
-
-def _longer_runs(lengths: list[int]):  # noqa: ANN202
-    """Rows sorted by x, px (each place of x that has an earlier occurrence, with the first one) -> h, doc, at: every run of so many
-    words of which all k-mers occur earlier, but not all in one run of one document. Equal runs have equal first occurrences, so these name it."""
+        head = new & (salt >= 0)
+        if other.any() or head.any():
+            use = other | head
+            no = pa.array(head[use])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[use]), pa.array(y[use], mask=head[use]), pa.array(at[use]), pa.array(py[use], mask=head[use]), pa.array(h[use], mask=~no.to_numpy(zero_copy_only=False))], names=["x", "y", "px", "py", "h"])
+
+
+def _matches(occurrences: DataFrame, frequent: list[int]) -> DataFrame:
+    """x, y, px, py (spooled): each occurrence (h, doc, at) with the first of its h."""
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+    salt = F.when(F.col("h").isin(frequent), salt).otherwise(-1) if frequent else F.lit(-1)
+    rows = occurrences.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("h", "salt", "doc", "at").select("h", "salt", "doc", "at")
+    met = c.spool(rows.mapInArrow(_first_occurrence, "x long, y long, px int, py int, h long"))
+    found = met.where("h is null").drop("h")
+    if not frequent:
+        return found
+    heads = met.where("h is not null").select("h", "x", "px")  # SALTS rows a frequent seed at most
+    top = F.broadcast(heads.groupBy("h").agg(F.min(F.struct("x", "px")).alias("top")))
+    heads = c.spool(heads.join(top, "h").select("x", "px", F.col("top.x").alias("tx"), F.col("top.px").alias("tp")))
+    moved = found.join(F.broadcast(heads.withColumnsRenamed({"x": "y", "px": "py"})), ["y", "py"], "left")
+    moved = moved.select("x", F.coalesce("tx", "y").alias("y"), "px", F.coalesce("tp", "py").alias("py"))
+    return c.spool(moved.unionByName(heads.where("x <> tx or px <> tp").select("x", F.col("tx").alias("y"), "px", F.col("tp").alias("py"))))
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xC2B2AE3D27D4EB4F
+
+
+def _longer_runs(spans: tuple[int, ...]):  # noqa: ANN202
+    """Rows sorted by x, px (each seed of x that has an earlier occurrence, with the first one) -> h, doc, at: runs of neighbouring seeds over so many
+    words of which all occur earlier, but not all in one run of one document. Equal runs have equal first occurrences, so these and the distances name them."""
+
+    def mixed(v: np.ndarray) -> np.ndarray:
+        v = v.astype(np.uint64) * _MIX
+        v ^= v >> np.uint64(32)
+        return v * _MIX
 
     def work(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         x, y, px, py = cols
-        name = (y.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (py.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        near = (np.diff(x) == 0) & (np.diff(px) == 1)
-        apart = np.concatenate([[0], np.cumsum(~near)])  # places where a stretch ends, up to each row
-        turns = np.concatenate([[0], np.cumsum(~(near & (np.diff(y) == 0) & (np.diff(py) == 1)))])
-        for length in lengths:
-            n = length - K + 1
-            if len(x) < n:
-                continue
-            m = len(x) - n + 1
-            at = np.flatnonzero((apart[n - 1 :] == apart[:m]) & (turns[n - 1 :] != turns[:m]))
-            for lo in range(0, len(at), 200_000):
-                part = at[lo : lo + 200_000]
-                h = np.full(len(part), length, np.uint64)
-                for k in range(n):
-                    h ^= h >> np.uint64(29)
-                    h *= np.uint64(0x9E3779B97F4A7C15)
-                    h += name[part + k]
-                h ^= h >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(x[part]), pa.array(px[part])], names=["h", "doc", "at"])
+        step = np.diff(px)
+        near = (np.diff(x) == 0) & (step <= WINDOW) & (step > 0)
+        stretch = np.concatenate([[0], np.cumsum(~near)])
+        turns = np.concatenate([[0], np.cumsum(~(near & (np.diff(y) == 0) & (np.diff(py) == step)))])
+        place = px.astype(np.int64) + stretch * (1 << 34)
+        name = mixed(y.astype(np.uint64) ^ mixed(py.astype(np.uint64) + np.uint64(1)))
+        power, back = np.ones(len(x), np.uint64), np.ones(len(x), np.uint64)
+        power[1:], back[1:] = _BASE, pow(_BASE, -1, 1 << 64)
+        power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
+        terms = (name + mixed(np.concatenate([[0], step]).astype(np.uint64) + np.uint64(7))) * power
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        for span in spans:
+            j = np.searchsorted(place, place + span)
+            i = np.flatnonzero(j < len(x))
+            i = i[(stretch[j[i]] == stretch[i]) & (turns[j[i]] != turns[i])]
+            if len(i):
+                h = mixed((upto[j[i] + 1] - upto[i + 1]) * back[i] + name[i] + np.uint64(span))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(x[i]), pa.array(px[i])], names=["h", "doc", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -384,11 +431,9 @@ def _aligned(min_words: int, identity: float):  # noqa: ANN202
 def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
     """doc_id, start_word, end_word, source_doc_id, source_start, source_end, matched_words: passages that a document shares with an earlier one."""
     c.bounded_arrow(docs.sparkSession)
-    occurrences = _seeds(docs).repartition("h").sortWithinPartitions("h", "doc", "at")
-    matches = occurrences.mapInArrow(_first_occurrence, "x long, y long, px int, py int")
-    lengths = [n for n in (2 * K, 4 * K) if n < min_words] + [min_words] * (min_words > K)
-    runs = matches.repartition("x").sortWithinPartitions("x", "px").mapInArrow(_longer_runs(lengths), "h long, doc long, at int")
-    longer = runs.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(_first_occurrence, "x long, y long, px int, py int")
+    matches = _matches(_seeds(docs), _frequent(docs))
+    runs = matches.repartition("x").sortWithinPartitions("x", "px").select("x", "y", "px", "py").mapInArrow(_longer_runs(SPANS), "h long, doc long, at int")
+    longer = _matches(runs, [])
     pairs = matches.unionByName(longer).repartition("x", "y").sortWithinPartitions("x", "y", "px", "py")
     chained = c.spool(pairs.mapInArrow(_chain_pairs, "x long, y long, px array<int>, py array<int>, sizes array<int>"))
     ids = c.spool(chained.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())

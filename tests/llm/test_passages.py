@@ -36,10 +36,25 @@ def test_chains_against_brute_force():
 
 
 def test_every_shared_run_has_a_seed():
-    a, b, run = words(300, 1), words(200, 2), words(p.K + p.WINDOW - 1, 3)
-    x, y = (word_hashes(" ".join(t).encode()) for t in (a[:77] + run + a[77:], run + b))
-    sx, sy = p.rolling(x, p.K)[p.minimizers(x)], p.rolling(y, p.K)[p.minimizers(y)]
-    assert np.intersect1d(sx, sy).size
+    for n in range(300):
+        a, b, run = words(300, 3 * n + 1), words(200, 3 * n + 2), words(p.K + p.WINDOW - 1, 3 * n + 3)
+        x, y = (p.rolling(word_hashes(" ".join(t).encode()), p.K) for t in (a[:77] + run + a[77:], run + b))
+        assert np.intersect1d(x[p.seeds_at(x)], y[p.seeds_at(y)]).size
+    assert len(p.seeds_at(p.rolling(word_hashes(" ".join(words(p.K, 1)).encode()), p.K))) == 1 and not len(p.seeds_at(np.zeros(0, np.uint64)))
+
+
+def test_share_of_edited_passages_with_a_seed():
+    """60 words, one in n edited: pairs that share a seed at all. From one in eight on, nearly all do."""
+    got = {}
+    for n in (7, 8, 9, 10, 12):
+        hits = 0
+        for k in range(300):
+            one = words(60, 5000 + k)
+            two = [f"edit{i}" if i % n == n - 1 else w for i, w in enumerate(one)]
+            x, y = (p.rolling(word_hashes(" ".join(words(30, 6000 + k + s) + t + words(30, 7000 + k + s)).encode()), p.K) for t, s in ((one, 0), (two, 1000)))
+            hits += bool(np.intersect1d(x[p.seeds_at(x)], y[p.seeds_at(y)]).size)
+        got[n] = hits / 300
+    assert got[7] > 0.88 and got[8] > 0.97 and min(got[9], got[10], got[12]) > 0.99, got
 
 
 def cases():
@@ -134,3 +149,24 @@ def test_pieces_in_earlier_documents_do_not_hide_a_passage(spark):
         want.append((4 * n + 3, 4 * n + 2, 5, 75, 70))
     got = p.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.matched_words) for r in got) == want
+
+
+def test_many_short_pieces_do_not_hide_a_long_passage(spark):
+    """A verbatim 200-word passage in two documents, of which earlier ones hold overlapping parts of 45 words."""
+    rows, want = [], {}
+    for n in range(10):
+        text, at = words(200, 4000 + n), 100 * n
+        rows += [(at + k, " ".join(words(8, 4100 + at + k) + text[lo : lo + 45] + words(9, 4200 + at + k))) for k, lo in enumerate(range(0, 200, 20))]
+        rows += [(at + 50, " ".join(words(10, 4300 + n) + text + words(5, 4400 + n))), (at + 51, " ".join(words(6, 4500 + n) + text))]
+        want[at + 51] = (at + 50, 6, 206)
+    got = {r.doc_id: (r.source_doc_id, r.start_word, r.end_word) for r in p.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id % 100 == 51}
+    assert got == want
+
+
+def test_frequent_seeds_are_dealt_and_meet(spark, monkeypatch):
+    passage = words(60, 1)
+    rows = [(i, " ".join(words(40, 100 + i) + passage + words(30, 500 + i))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert p._frequent(docs)
+    got = p.repeated_passages(docs).collect()
+    assert sorted((r.doc_id, r.source_doc_id, r.start_word, r.end_word) for r in got) == [(i, 0, 40, 100) for i in range(1, 150)]
