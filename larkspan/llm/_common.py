@@ -99,6 +99,11 @@ def drop_spool(*frames: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that are done. Spark removes them when the driver has collected their handles, which a large heap may put off until the disks are full."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_small(df: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", limit: int = 50_000) -> DataFrame:
     """Join a spooled lookup table: broadcast only after counting at most `limit` rows, else an ordinary shuffled join."""
     if small.limit(limit + 1).count() <= limit:

@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of five-word shingle sets as a metric-space join (distance 1 - Jaccard, radius tau = 1/4).
 
-1. Equal sets become one point, kept by a 64-bit hash of the set, with its size and its counts of shingles in `BUCKETS` hash buckets.
+1. Equal sets become one point, kept by a 64-bit hash of the set, with its size and its counts of shingles in hash buckets, in proportion to its size.
 2. Anchors. Nearly all points are at distance 1 from any given document, so document pivots cannot tell them apart; this is the exact
    route for them. Two sets are nearer than 1 only if they share a shingle. With all shingles in one order (frequent ones
    last), sets within tau share one among their first n - ceil(3n/4) + 1: a set is replicated to these regions and no others.
@@ -45,7 +45,7 @@ from ._words import shingles
 
 HOT = 1 << 20
 WINDOW = 4_000_000  # shingles among which repeats are noticed
-BUCKETS = 128
+BUCKETS = 128  # of sets up to 1,024 shingles; eight times as many up to eight times the size, and so on
 PIVOTS = 8
 TAU = 0.25
 
@@ -55,8 +55,11 @@ def _key(s: np.ndarray) -> int:
 
 
 def _counts(s: np.ndarray) -> bytes:
-    """Shingles by bucket, each count cut at 255 (which keeps differences a lower bound)."""
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    """Shingles by bucket, each count cut at 255 (which keeps differences a lower bound). An eighth as many buckets are sums of these."""
+    buckets = BUCKETS
+    while len(s) > 8 * buckets:
+        buckets *= 8
+    return np.minimum(np.bincount((s >> np.uint64(32)).astype(np.int64) % buckets, minlength=buckets), 255).astype(np.uint8).tobytes()
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -245,17 +248,35 @@ def _forest(_group: int, keys: list[int], sets: list[np.ndarray]) -> Iterator[tu
                 yield keys[i], keys[j]
 
 
-def _joined_parts(n: np.ndarray, counts: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _joined_parts(n: np.ndarray, counts: list[bytes], known: np.ndarray) -> np.ndarray:
     """Labels of the components of the graph of possible links between points not known to be in one component: sizes within 3/4, and counts that differ by a seventh of both sizes at most."""
     label = np.arange(len(n))
-    counts = counts.astype(np.int16)
+    buckets = np.array([len(x) for x in counts])
+    for level in np.unique(buckets).tolist():
+        # a link joins points of one level, or of this and the next one
+        at = np.flatnonzero((buckets == level) | (buckets == 8 * level))
+        folded = np.stack([np.frombuffer(counts[i], np.uint8).reshape(-1, level).sum(0, dtype=np.int16) for i in at])
+        if len(at) > 1:
+            _join_level(n[at], folded, known[at], buckets[at] == level, at, label)
+    return label
+
+
+def _join_level(n: np.ndarray, counts: np.ndarray, known: np.ndarray, own: np.ndarray, place: np.ndarray, label: np.ndarray) -> None:
+    """Join what can be linked among points of one number of buckets, where one of two is of this level itself. Pivots, Voronoi cells and windows in the space of counts, recursively."""
 
-    def compare(a: np.ndarray, b: np.ndarray) -> None:
-        for lo in range(0, len(a), 32):
-            part = a[lo : lo + 32]
-            apart = np.abs(counts[part][:, None] - counts[b][None]).sum(2, dtype=np.int32)
-            i, j = np.nonzero((known[part][:, None] != known[b][None]) & (7 * apart <= n[part][:, None] + n[b][None]) & (4 * np.minimum(n[part][:, None], n[b][None]) >= 3 * np.maximum(n[part][:, None], n[b][None])))
-            link(part[i], b[j])
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty((len(a), len(b)), np.int32)
+        step = max(1, 2_000_000 // (len(a) * counts.shape[1]))
+        for lo in range(0, len(b), step):
+            out[:, lo : lo + step] = np.abs(counts[a][:, None] - counts[b[lo : lo + step]][None]).sum(2, dtype=np.int32)
+        return out
+
+    def compare(idx: np.ndarray) -> None:
+        for lo in range(0, len(idx), 16):
+            a = idx[lo : lo + 16]
+            x, y = n[a][:, None], n[idx][None]
+            i, j = np.nonzero((known[a][:, None] != known[idx][None]) & (own[a][:, None] | own[idx][None]) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & (7 * apart(a, idx) <= x + y))
+            link(place[a[i]], place[idx[j]])
 
     def link(u: np.ndarray, v: np.ndarray) -> None:
         """Give linked points, and all that had their labels, the least label."""
@@ -273,20 +294,19 @@ def _joined_parts(n: np.ndarray, counts: np.ndarray, known: np.ndarray) -> np.nd
     while todo:
         idx = todo.pop()
         if len(idx) <= 64:
-            compare(idx, idx)
+            compare(idx)
             continue
         pivots = [0]
-        far = np.abs(counts[idx] - counts[idx[0]]).sum(1, dtype=np.int32)[:, None]
+        far = apart(idx[:1], idx).T
         while len(pivots) < PIVOTS and far.min(1).max() > 0:  # farthest first
             pivots.append(int(far.min(1).argmax()))
-            far = np.concatenate([far, np.abs(counts[idx] - counts[idx[pivots[-1]]]).sum(1, dtype=np.int32)[:, None]], 1)
+            far = np.concatenate([far, apart(idx[pivots[-1:]], idx).T], 1)
         window = 2 * (2 * int(n[idx].max()) / 7)
         cells = [idx[far[:, k] - far.min(1) <= window] for k in range(len(pivots))]
         if max(map(len, cells)) > 0.75 * len(idx):
-            compare(idx, idx)
+            compare(idx)
         else:
             todo += [x for x in cells if len(x) > 1]
-    return label
 
 
 def _subregions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +317,7 @@ def _subregions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, at = np.unique(x, return_index=True)
         if len(x) < 2 or (root[at] == root[at[0]]).all():
             return
-        label = _joined_parts(n[at], counts[at], root[at])
+        label = _joined_parts(n[at], counts[at].tolist(), root[at])
         order = np.argsort(label, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], np.diff(label[order]) != 0, [True]]))
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -315,7 +335,7 @@ def _subregions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, BUCKETS))
+        cols = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)), np.array([*batch.column(5).to_pylist(), None], object)[:-1])
         held.append(cols)
         if cols[0][0] == cols[0][-1] and held[0][0][0] == cols[0][0]:
             continue  # one region so far
@@ -430,6 +450,7 @@ def links(docs: DataFrame, sets: DataFrame, keys: DataFrame, most: int = 512, ne
     prefixes = _prefixes(docs, hot[order], often["times"].to_numpy(np.int64)[order])
     stars = prefixes.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(_stars, "p long, x long")
     pairs = c.spool(stars.distinct())
+    c.release(docs.sparkSession)
     members = pairs.unionByName(pairs.select("p", F.col("p").alias("x")).distinct()).select(F.col("p").alias("g"), "x", F.lit(False).alias("flat"))
     points = keys.where("least is not null").select(F.col("key").alias("x"), F.col("size").alias("n"), "counts")
     regions = _narrowed(members, points.withColumn("root", F.col("x")), near)
@@ -439,6 +460,7 @@ def links(docs: DataFrame, sets: DataFrame, keys: DataFrame, most: int = 512, ne
     while True:
         got, left = _exact(now, texts, most, turn)
         got = c.spool(got)
+        c.release(docs.sparkSession)
         found = got if found is None else found.unionByName(got)
         if rest is not None:
             left = rest if left is None else left.unionByName(rest)

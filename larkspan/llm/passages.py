@@ -5,7 +5,7 @@ Seeds are runs of k words: those whose hash falls into one part of `SHARE`, what
 and edited texts share every seed that the edits leave whole. Occurrences of a seed are joined with its first occurrence (least id, then place), never with each other, so
 a seed in thousands of documents makes a link for each and no more. Runs of consecutive seeds over `SPANS` words whose seeds all occur
 earlier, but with first occurrences in several places, are joined with the first occurrence of the whole run too, so documents
-that share it meet although earlier ones hold pieces of it. Seeds that are frequent in a bounded sample of documents are dealt by document too, and
+that share it meet although earlier ones hold pieces of it. Pairs with one match only are left: any 50 equal words have two seeds. Seeds that are frequent in a bounded sample of documents are dealt by document too, and
 the first occurrences of the parts then meet, so no task sees all occurrences of one. For every pair of documents the matches are chained in
 order in both, a chain's score being its seeds less a cost for the words skipped between them; a Fenwick tree over places
 in the second text finds the best predecessor. Chains are aligned on the words: gaps by longest common subsequence, ends by
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from . import _common as c
 from ._words import rolling, word_hashes
 
-K, WINDOW, SHARE = 6, 16, 4
-SPANS = (14, 28, 38, 44)  # words from the first seed of a run to the last; 44 and a seed are 50 words
+K, WINDOW, SHARE = 6, 16, 3
+SPANS = (44,)  # words from the first seed of a run to the last; 44 and a seed are 50 words
 SAMPLE, SALTS = 4000, 64  # documents that tell frequent seeds, parts that these are dealt to
 GAP = 0.02  # of a seed, for each word skipped in either text
 DROP = 12  # words of score that an extension may lose
@@ -158,7 +158,8 @@ def _longer_runs(spans: tuple[int, ...]):  # noqa: ANN202
             i = i[(stretch[j[i]] == stretch[i]) & (turns[j[i]] != turns[i])]
             if len(i):
                 h = mixed((upto[j[i] + 1] - upto[i + 1]) * back[i] + name[i] + np.uint64(span))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(x[i]), pa.array(px[i])], names=["h", "doc", "at"])
+                for end, at in ((h, px[i]), (mixed(h), px[j[i]])):  # both ends of the run are matches
+                    yield pa.RecordBatch.from_arrays([pa.array(end.view(np.int64)), pa.array(x[i]), pa.array(at)], names=["h", "doc", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -245,10 +246,12 @@ def _chain_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0), [True]]))
         rows = []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
             parts = chains(px[lo:hi], py[lo:hi])
             order = np.concatenate(parts) + lo
             rows.append((int(x[lo]), int(y[lo]), px[order], py[order], np.array([len(p) for p in parts], np.int32)))
-        a, b, p, q, s = zip(*rows, strict=True)
+        a, b, p, q, s = zip(*rows, strict=True) if rows else ([],) * 5
         kind = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, kind), pa.array(q, kind), pa.array(s, kind)], names=["x", "y", "px", "py", "sizes"])
 
@@ -390,6 +393,15 @@ def align(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, min_wo
     return found
 
 
+def outermost(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Passages that no other one of the two documents holds in both texts; equal ones once."""
+    found = list(dict.fromkeys(found))
+    if len(found) < 2:
+        return found
+    s, e, u, v = (np.array(x) for x in list(zip(*found, strict=True))[:4])
+    return [f for i, f in enumerate(found) if not ((s <= s[i]) & (e >= e[i]) & (u <= u[i]) & (v >= v[i]) & ((s < s[i]) | (e > e[i]) | (u < u[i]) | (v > v[i]))).any()]
+
+
 def _aligned(min_words: int, identity: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -421,7 +433,7 @@ def _aligned(min_words: int, identity: float):  # noqa: ANN202
                     if any(s <= a[0] and a[-1] + K <= e and u <= b[0] and b[-1] + K <= v for s, e, u, v, _ in found):
                         continue  # an earlier chain's alignment holds this one
                     found += align(hx, hy, a, b, min_words, identity)
-                rows += [(x, s, e, y, u, v, m) for s, e, u, v, m in found]
+                rows += [(x, s, e, y, u, v, m) for s, e, u, v, m in outermost(found)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], names=names)
 
@@ -432,10 +444,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     """doc_id, start_word, end_word, source_doc_id, source_start, source_end, matched_words: passages that a document shares with an earlier one."""
     c.bounded_arrow(docs.sparkSession)
     matches = _matches(_seeds(docs), _frequent(docs))
+    c.release(docs.sparkSession)
     runs = matches.repartition("x").sortWithinPartitions("x", "px").select("x", "y", "px", "py").mapInArrow(_longer_runs(SPANS), "h long, doc long, at int")
     longer = _matches(runs, [])
+    c.release(docs.sparkSession)
     pairs = matches.unionByName(longer).repartition("x", "y").sortWithinPartitions("x", "y", "px", "py")
-    chained = c.spool(pairs.mapInArrow(_chain_pairs, "x long, y long, px array<int>, py array<int>, sizes array<int>"))
+    chained = c.spool(pairs.select("x", "y", "px", "py").mapInArrow(_chain_pairs, "x long, y long, px array<int>, py array<int>, sizes array<int>"))
+    c.release(docs.sparkSession)
     ids = c.spool(chained.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
     texts = c.texts_of(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).dropDuplicates(["doc_id"])
     tx, ty = texts.select(F.col("doc_id").alias("x"), F.col("z").alias("tx")), texts.select(F.col("doc_id").alias("y"), F.col("z").alias("ty"))
