@@ -32,8 +32,9 @@ def uncertainty(confidence: Column, mdc: Column, least: Column, levels: Column |
 def threshold_reason(floor: float | None = None) -> Column:
     """First reason that an item is not shown, or `ok`. Columns: has_threshold, usable, min_confidence, confidence, status, magnitude, uncertainty, audibility."""
     c = F.col
-    out = F.when(~c("has_threshold"), "no_threshold").when(~c("usable"), "attribute_not_reliable").when(c("confidence") < c("min_confidence"), "below_confidence")
-    out = out.when(c("status").isin("missing", "extra"), "ok").when(c("status") == "same", "no_difference").when(F.abs(c("magnitude")) < c("uncertainty"), "below_magnitude")
+    yes = lambda x: F.coalesce(x, F.lit(False))  # noqa: E731  unknown values fail the test they are in
+    out = F.when(~yes(c("has_threshold")), "no_threshold").when(~yes(c("usable")), "attribute_not_reliable").when(~yes(c("confidence") >= c("min_confidence")), "below_confidence")
+    out = out.when(yes(c("status").isin("missing", "extra")), "ok").when(yes(c("status") == "same"), "no_difference").when(~yes(F.abs(c("magnitude")) >= c("uncertainty")), "below_magnitude")
     if floor is not None:
         out = out.when(c("audibility") < floor, "below_audibility")
     return out.otherwise("ok")
@@ -60,13 +61,13 @@ def rank_items(items: DataFrame, keys: Keys, name: str, tie: float = TIE) -> Dat
     """Position of every item: the best score is next; scores within the tie of the best left give way to the lower tier, then the higher score, then the name.
 
     The tie is relative to the best item that is left, so it depends on what was taken before: one key's items (one
-    comparison, tens of rows) are ordered in one group.
+    comparison, tens of rows) are ordered in one group. Items without a score come last.
     """
     tiers = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])
     rows = items.withColumn("tier", F.coalesce(F.try_element_at(tiers, F.col("category")), F.lit(max(TIERS.values()) + 1)))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = list(zip(pdf["tier"], -pdf["score"], pdf[name].astype(str), range(len(pdf)), strict=True))
+        left = list(zip(pdf["tier"], -pdf["score"].fillna(float("-inf")), pdf[name].astype(str), range(len(pdf)), strict=True))
         place = [0] * len(pdf)
         for k in range(len(pdf)):
             best = max(-s for _, s, _, _ in left)

@@ -37,9 +37,9 @@ def sound_files(df: DataFrame) -> DataFrame:
     return df.select("path", "rate", "samples").mapInPandas(run, "path string, content binary")
 
 
-def text_table(df: DataFrame, most: int = 200) -> str:
-    """Fixed-width text of a small report, `most` rows at most."""
-    rows = [[("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in df.limit(most).collect()]
+def text_table(df: DataFrame) -> str:
+    """Fixed-width text of a report, all rows of it: a report has a row for each measure, not for each recording."""
+    rows = [[("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in df.collect()]
     widths = [max(len(c), *(len(r[i]) for r in rows)) if rows else len(c) for i, c in enumerate(df.columns)]
     line = lambda r: "  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip()
     return "\n".join([line(df.columns), line(["-" * w for w in widths]), *map(line, rows)])

@@ -27,12 +27,13 @@ def revoke(tokens: DataFrame, purpose: Column | str) -> DataFrame:
 
 
 def expired(rows: DataFrame, stamp: str, now: float, max_age: float) -> DataFrame:
-    """Rows strictly older than max_age."""
-    return rows.where(F.lit(now) - F.col(stamp) > max_age)
+    """Rows strictly older than max_age, and rows without a stamp, whose age nobody can vouch for."""
+    return rows.where(F.coalesce(F.lit(now) - F.col(stamp) > max_age, F.lit(True)))
 
 
 def retained(rows: DataFrame, stamp: str, now: float, max_age: float) -> DataFrame:
-    return rows.where(F.lit(now) - F.col(stamp) <= max_age)
+    """The other rows: each row is either expired or retained."""
+    return rows.where(F.coalesce(F.lit(now) - F.col(stamp) <= max_age, F.lit(False)))
 
 
 def without_users(rows: DataFrame, gone: DataFrame, user: str) -> DataFrame:
@@ -41,7 +42,9 @@ def without_users(rows: DataFrame, gone: DataFrame, user: str) -> DataFrame:
 
 
 def upsert(store: DataFrame, new: DataFrame, keys: Sequence[str], log: DataFrame, user: str, purpose: str) -> DataFrame:
-    """Keyed upsert; new rows of users without a granted purpose are refused."""
+    """Keyed upsert; new rows of users without a granted purpose are refused. Of new rows with one key one stays, the greatest as a row."""
     ok = latest_state(log, [user]).where((F.col("purpose") == purpose) & F.col("granted")).select(user)
-    admitted = new.join(ok, user, "left_semi")
+    rest = [F.col(x) for x in store.columns if x not in keys]
+    one = new.select(*store.columns).groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")) if rest else new.select(*keys).distinct()
+    admitted = one.join(ok, user, "left_semi").select(*[F.col(x) if x in keys else F.col(f"_row.{x}") for x in store.columns])
     return store.join(admitted.select(*keys), [*keys], "left_anti").unionByName(admitted)

@@ -76,11 +76,13 @@ def gap_sessions(events: DataFrame, key: str, stamp: str, gap: str, watermark: s
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def running_totals(log: DataFrame, session: str, day: str, seconds: str) -> DataFrame:
-    """Seconds per session and per day, with warnings beyond the limits."""
-    per = log.groupBy(session, day).agg(F.sum(seconds).alias("session_seconds"))
-    daily = per.groupBy(day).agg(F.sum("session_seconds").alias("day_seconds"))
-    return per.join(daily, day)
+def running_totals(log: DataFrame, user: str, session: str, day: str, seconds: str) -> DataFrame:
+    """user, session, day, session_seconds (of the whole session) and day_seconds (of the user's whole day). Negative seconds are an error."""
+    whole = F.sum(F.when(F.col(seconds) < 0, F.raise_error(F.lit("negative seconds"))).otherwise(F.col(seconds)))
+    rows = log.groupBy(user, session, day).agg(whole.alias("_s"))
+    per = rows.groupBy(user, session).agg(F.sum("_s").alias("session_seconds"))
+    daily = rows.groupBy(user, day).agg(F.sum("_s").alias("day_seconds"))
+    return rows.select(user, session, day).join(per, [user, session]).join(daily, [user, day])
 
 
 def warnings(totals: DataFrame, session_limit: float, day_limit: float) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from larkspan.plans.catalog import ORACLE, QUERIES
+from larkspan.plans.more import ORACLE, QUERIES
 from tests.oracle import differences
 
 
