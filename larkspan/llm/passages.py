@@ -5,7 +5,7 @@ Seeds are runs of k words: those whose hash falls into one part of `SHARE`, what
 and edited texts share every seed that the edits leave whole. Occurrences of a seed are joined with its first occurrence (least id, then place), never with each other, so
 a seed in thousands of documents makes a link for each and no more. Runs of consecutive seeds over `SPANS` words whose seeds all occur
 earlier, but with first occurrences in several places, are joined with the first occurrence of the whole run too, so documents
-that share it meet although earlier ones hold pieces of it. Pairs with one match only are left: any 50 equal words have two seeds. Seeds that are frequent in a bounded sample of documents are dealt by document too, and
+that share it meet although earlier ones hold pieces of it. Pairs of documents with one match only are left: any 50 equal words have two seeds. A chain of one match must have half of `min_words` equal words beside it, place by place. Seeds that are frequent in a bounded sample of documents are dealt by document too, and
 the first occurrences of the parts then meet, so no task sees all occurrences of one. For every pair of documents the matches are chained in
 order in both, a chain's score being its seeds less a cost for the words skipped between them; a Fenwick tree over places
 in the second text finds the best predecessor. Chains are aligned on the words: gaps by longest common subsequence, ends by
@@ -158,7 +158,7 @@ def _longer_runs(spans: tuple[int, ...]):  # noqa: ANN202
             i = i[(stretch[j[i]] == stretch[i]) & (turns[j[i]] != turns[i])]
             if len(i):
                 h = mixed((upto[j[i] + 1] - upto[i + 1]) * back[i] + name[i] + np.uint64(span))
-                for end, at in ((h, px[i]), (mixed(h), px[j[i]])):  # both ends of the run are matches
+                for end, at in ((h, px[i]), (mixed(h), px[i + 1])):  # two matches, so that they are a chain
                     yield pa.RecordBatch.from_arrays([pa.array(end.view(np.int64)), pa.array(x[i]), pa.array(at)], names=["h", "doc", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +323,19 @@ def _runs(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, k: int
     new = np.flatnonzero((dx + skip > k) | (dy + skip > k)) + 1
     sx, sy = (np.concatenate([p[:1], p[new] + skip[new - 1]]) for p in (px, py))
     ex, ey = (np.concatenate([p[new - 1], p[-1:]]) + k for p in (px, py))
-    gaps = [_common_subsequence(hx[a:b], hy[c_:d]) for a, b, c_, d in zip(ex[:-1].tolist(), sx[1:].tolist(), ey[:-1].tolist(), sy[1:].tolist(), strict=True)]
-    upto = np.cumsum(ex - sx + np.array([0, *gaps]))
+    lx, ly = sx[1:] - ex[:-1], sy[1:] - ey[:-1]
+    gaps = np.zeros(len(lx), np.int64)
+    level = np.flatnonzero((lx == ly) & (lx > 0))  # gaps of one length in both: words that match place by place, for all such gaps at once
+    if len(level):
+        n = lx[level]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(ex[:-1][level] - first, n)
+        gaps[level] = np.add.reduceat((hx[at] == hy[at + np.repeat(ey[:-1][level] - ex[:-1][level], n)]).astype(np.int64), first)
+    for g in np.flatnonzero((lx > 0) & (ly > 0) & ((lx != ly) | (gaps < lx - 1))).tolist():
+        gaps[g] = _common_subsequence(hx[ex[g] : sx[g + 1]], hy[ey[g] : sy[g + 1]])
+    if (cut := (lx != ly) | (gaps < lx)).sum() < len(lx):  # runs with nothing but equal words between them are one
+        sx, sy, ex, ey, gaps = sx[np.concatenate([[True], cut])], sy[np.concatenate([[True], cut])], ex[np.concatenate([cut, [True]])], ey[np.concatenate([cut, [True]])], gaps[cut]
+    upto = np.cumsum(ex - sx + np.concatenate([[0], gaps]))
     return sx, ex, sy, ey, upto - (ex - sx), upto
 
 
@@ -393,6 +404,12 @@ def align(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, min_wo
     return found
 
 
+def _beside(hx: np.ndarray, hy: np.ndarray, px: int, py: int, reach: int) -> int:
+    """Equal words up to `reach` words before and behind a match, place by place."""
+    back, on = min(px, py, reach), min(len(hx) - px, len(hy) - py, reach)
+    return int((hx[px - back : px + on] == hy[py - back : py + on]).sum())
+
+
 def outermost(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Passages that no other one of the two documents holds in both texts; equal ones once."""
     found = list(dict.fromkeys(found))
@@ -430,6 +447,8 @@ def _aligned(min_words: int, identity: float):  # noqa: ANN202
                 for n in sizes:
                     a, b = ax[at : at + n], ay[at : at + n]
                     at += n
+                    if n == 1 and _beside(hx, hy, int(a[0]), int(b[0]), min_words) < min_words // 2:
+                        continue
                     if any(s <= a[0] and a[-1] + K <= e and u <= b[0] and b[-1] + K <= v for s, e, u, v, _ in found):
                         continue  # an earlier chain's alignment holds this one
                     found += align(hx, hy, a, b, min_words, identity)
