@@ -5,7 +5,7 @@ Seeds are runs of k words: those whose hash falls into one part of `SHARE`, what
 and edited texts share every seed that the edits leave whole. Occurrences of a seed are joined with its first occurrence (least id, then place), never with each other, so
 a seed in thousands of documents makes a link for each and no more. Runs of consecutive seeds over `SPANS` words whose seeds all occur
 earlier, but with first occurrences in several places, are joined with the first occurrence of the whole run too, so documents
-that share it meet although earlier ones hold pieces of it. Pairs of documents with one match only are left: any 50 equal words have two seeds. A chain of one match must have half of `min_words` equal words beside it, place by place. Seeds that are frequent in a bounded sample of documents are dealt by document too, and
+that share it meet although earlier ones hold pieces of it. Pairs of documents with one match only are left: any 50 equal words have two seeds. A chain of four matches or less over less than half of `min_words` words is aligned only if two fifths of `min_words` words beside it are equal, place by place. Seeds that are frequent in a bounded sample of documents are dealt by document too, and
 the first occurrences of the parts then meet, so no task sees all occurrences of one. For every pair of documents the matches are chained in
 order in both, a chain's score being its seeds less a cost for the words skipped between them; a Fenwick tree over places
 in the second text finds the best predecessor. Chains are aligned on the words: gaps by longest common subsequence, ends by
@@ -447,7 +447,7 @@ def _aligned(min_words: int, identity: float):  # noqa: ANN202
                 for n in sizes:
                     a, b = ax[at : at + n], ay[at : at + n]
                     at += n
-                    if n == 1 and _beside(hx, hy, int(a[0]), int(b[0]), min_words) < min_words // 2:
+                    if n <= 4 and a[-1] - a[0] < min_words // 2 and _beside(hx, hy, int(a[0]), int(b[0]), min_words) < 0.4 * min_words:
                         continue
                     if any(s <= a[0] and a[-1] + K <= e and u <= b[0] and b[-1] + K <= v for s, e, u, v, _ in found):
                         continue  # an earlier chain's alignment holds this one
