@@ -32,7 +32,7 @@ def test_stages(spark):
     assert sorted(after) == sorted(r for r in before if not stats(r[1])[-1])
     before, after = at["lines"]
     want = dedup([(r[0], r[1]) for r in before], 2)
-    assert {(r[0], r[1]) for r in after} == {(r[0], want[r[0], r[1]][2]) for r in before if len(want[r[0], r[1]][1]) < want[r[0], r[1]][0]}
+    assert {(r[0], r[1]) for r in after} == {(r[0], want[r[0], r[1]][3]) for r in before if len(want[r[0], r[1]][2]) < want[r[0], r[1]][0]}
     assert all(r[4] == len(r[1]) for r in after)
     before, after = at["near_copies"]
     least = near([(r[0], r[1]) for r in before])
