@@ -66,7 +66,7 @@ def classes_at(suffixes: DataFrame, depth: int) -> DataFrame:
 
 
 def _halve(todo: DataFrame, ranks: DataFrame, step: int) -> DataFrame:
-    """todo: doc_id, d, i, interval, length, first (spooled). Those that agree on `step` more lines with an earlier member of their interval go one interval deeper; the others stay."""
+    """todo: doc_id, d, i, interval, length, first (cheap to read again). Those that agree on `step` more lines with an earlier member of their interval go one interval deeper; the others stay."""
     refs = todo.select("first.*", "interval", "length").distinct().withColumn("target", F.lit(False))
     rows = todo.select("doc_id", "d", "i", "interval", "length").withColumn("target", F.lit(True)).unionByName(refs)
     at = ranks.select("d", F.col("i").alias("there"), F.col("rank").alias("then"))
@@ -98,11 +98,9 @@ def repeats(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS)
     done, todo = start.where("level = 0").drop("level"), None
     for j in range(len(levels) - 2, -1, -1):
         new = start.where(F.col("level") == j + 1).drop("level")
-        active = new if todo is None else todo.unionByName(new)
-        active = c.spool(active)
+        deeper = _halve(new if todo is None else todo.unionByName(new), levels[j], 1 << j)
         c.drop_spool(*([todo] if todo is not None else []))
-        todo = _halve(active, levels[j], 1 << j)
-        c.drop_spool(active)
+        todo = deeper
     if todo is not None:
         done = done.unionByName(todo)
     marks = lines.where("long").select("d", "i", F.lit(True).alias("long"))
