@@ -15,7 +15,7 @@
    pivots and exact distances: links to pivots are taken, points go to the cell of the nearest pivot and, within the window of
    2 tau, to others; points within tau of a cell's pivot are linked through it and stay only if a point beyond tau could reach them. Cells are
    regions again and join recursively. A cell with over three quarters of its region (pivots do not tell its points apart) is joined
-   in pairs of blocks instead.
+   in pairs of blocks instead, and so is a region whose cells have as many pairs as itself.
 5. Every task gives a spanning forest of its exact links. Regions overlap where many points are near each other, so step 4 first takes
    each point in its largest region only; then connected components are found, and regions go through step 3 again for
    what can be linked across components. Cells of large regions do the same, until no region is left.
@@ -398,7 +398,7 @@ def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _voronoi(regions: DataFrame, texts: DataFrame, most: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """regions: g, x, size (spooled) -> links to pivots (u, v); the cells as regions (g, x, flat), flat where pivots do not part a region."""
+    """regions: g, x, size (spooled) -> links to pivots (u, v); the cells as regions (g, x, flat), flat where pivots do not part a region; the region itself, flat, where its cells have as many pairs."""
     chosen = regions.groupBy("g").agg(F.max("size").alias("size"), F.array(*[F.min_by("x", F.xxhash64("x", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]).alias("qs"))
     parts = F.ceil(F.col("size") / most).cast("long")
     points = regions.select("g", "x", F.pmod(F.xxhash64("x", F.lit(turn)), parts).alias("part"), F.lit(None).cast("int").alias("q"))
@@ -408,8 +408,12 @@ def _voronoi(regions: DataFrame, texts: DataFrame, most: int, turn: int) -> tupl
     links = met.where("linked and pivot <> x").select(F.col("pivot").alias("u"), F.col("x").alias("v"))
     edge = met.where("not linked").groupBy("g", "q").agg(F.min("far").alias("edge"))
     cells = met.join(edge, ["g", "q"]).where(F.col("far") >= F.col("edge") - TAU - 1e-9).select("g", "q", "x")
-    sizes = cells.groupBy("g", "q").agg(F.count("*").alias("cell")).join(chosen.select("g", "size"), "g").select("g", "q", (4 * F.col("cell") > 3 * F.col("size")).alias("flat"))
-    return links, cells.join(sizes, ["g", "q"]).select(F.xxhash64("g", "q", F.lit(turn)).alias("g"), "x", "flat")
+    sizes = c.spool(cells.groupBy("g", "q").agg(F.count("*").alias("cell")).join(chosen.select("g", "size"), "g"))
+    # cells with as many pairs as their region do not part it: it goes on once, instead of as copies of itself
+    whole = sizes.groupBy("g").agg(F.sum(F.col("cell") * F.col("cell")).alias("pairs"), F.max("size").alias("size")).where(F.col("pairs") >= F.col("size") * F.col("size")).select("g")
+    parted = sizes.join(whole, "g", "left_anti").select("g", "q", (4 * F.col("cell") > 3 * F.col("size")).alias("flat"))
+    out = cells.join(parted, ["g", "q"]).select(F.xxhash64("g", "q", F.lit(turn)).alias("g"), "x", "flat")
+    return links, out.unionByName(regions.join(whole, "g").select(F.xxhash64("g", F.lit(-1), F.lit(turn)).alias("g"), "x", F.lit(True).alias("flat")))
 
 
 def _blocks(regions: DataFrame, most: int, turn: int) -> DataFrame:
