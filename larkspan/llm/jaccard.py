@@ -471,6 +471,7 @@ def links(docs: DataFrame, sets: DataFrame, keys: DataFrame, most: int = 512, ne
         if left is None:
             return c.spool(found)
         roots = components(found)
+        found = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))  # stands for all links so far
         rooted = points.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
         now, rest, turn = _narrowed(left, rooted, near), None, turn + 1
         if not now.limit(1).count():
