@@ -20,6 +20,13 @@ def known(x: Column | str) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def ieee_log(x: Column | str, base: float | None = None) -> Column:
+    """Logarithm (natural, or to `base` 2 or 10) by IEEE rules: minus infinity at 0 and NaN below, where Spark's are NULL."""
+    x = col(x)
+    log = {None: F.log, 2: F.log2, 10: F.log10}[base]
+    return F.when(x > 0, log(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
 def hz_to_cents(hz: Column | str, ref: float = A4_HZ) -> Column:
     hz = col(hz)
     return F.when(hz > 0, 1200.0 * F.log2(hz / ref))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ieee_log
+
 Keys = Sequence[str]
 _ALL = "_all"
 
@@ -173,15 +175,18 @@ def theil_sen(df: DataFrame, x: str, y: str, keys: Keys) -> DataFrame:
 
 
 def residual_report(records: DataFrame, baseline: DataFrame, value: str, slice_col: str, z: float = 3.0) -> DataFrame:
-    """Slices whose log median is above the baseline by more than z robust standard errors. baseline: one column `value`."""
-    logs = baseline.select(F.log(F.col(value)).alias("_b"))
-    med = logs.agg(F.median("_b")).first()[0]
-    spread = max(1.4826 * logs.agg(F.median(F.abs(F.col("_b") - med))).first()[0], 1e-6)
-    per = records.groupBy(slice_col).agg(F.median(F.log(F.col(value))).alias("_m"), F.count("*").alias("n"))
-    zs = (F.col("_m") - med) / (spread / F.sqrt("n"))
-    return per.select(slice_col, "n", F.exp("_m").alias("median"), F.exp(F.col("_m") - med).alias("ratio"), zs.alias("z"), (zs > z).alias("flagged"))
-
-
+    """Slices whose log median is above the baseline by more than z robust standard errors. baseline: one column `value`.
+
+    A value of 0 counts, with a logarithm of minus infinity; a baseline without a known value leaves ratio, z and flag NULL.
+    """
+    logs = baseline.select(ieee_log(value).alias("_b"))
+    med = logs.agg(F.median("_b").alias("_med"))
+    spread = logs.crossJoin(F.broadcast(med)).agg(F.greatest(1.4826 * F.median(F.abs(F.col("_b") - F.col("_med"))), F.lit(1e-6)).alias("_spread"))
+    per = records.groupBy(slice_col).agg(F.median(ieee_log(value)).alias("_m"), F.count("*").alias("n"))
+    per = per.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(spread))  # one row each
+    above = F.col("_m") - F.col("_med")
+    zs = above / (F.col("_spread") / F.sqrt("n"))
+    return per.select(slice_col, "n", F.exp("_m").alias("median"), F.exp(above).alias("ratio"), zs.alias("z"), (zs > z).alias("flagged"))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
