@@ -28,8 +28,8 @@ def ieee_log(x: Column | str, base: float | None = None) -> Column:
 
 
 def hz_to_cents(hz: Column | str, ref: float = A4_HZ) -> Column:
-    hz = col(hz)
-    return F.when(hz > 0, 1200.0 * F.log2(hz / ref))
+    """Minus infinity at 0 Hz, NaN below, as in NumPy and SQL; callers mask what is unvoiced."""
+    return 1200.0 * ieee_log(col(hz) / ref, 2)
 
 
 def cents_to_hz(cents: Column | str, ref: float = A4_HZ) -> Column:
@@ -41,9 +41,9 @@ def power_db(power: Column | str, floor_db: float = -200.0) -> Column:
 
 
 def fold_octave(cents: Column | str) -> Column:
-    """Into [-600, 600) with a floored modulo."""
+    """Into [-600, 600) with a floored modulo; NaN for infinities, which have no place in an octave."""
     x = col(cents) + 600.0
-    return x - 1200.0 * F.floor(x / 1200.0) - 600.0
+    return F.when(F.abs(x) == float("inf"), F.lit(float("nan"))).otherwise(x - 1200.0 * F.floor(x / 1200.0) - 600.0)
 
 
 def frame_of(seconds: Column | str, hop_seconds: float, n_frames: Column | int) -> Column:

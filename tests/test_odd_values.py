@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan.functions import scalar as s
 from larkspan.operators import agreement
 from larkspan.plans.more import ORACLE, QUERIES
 from tests.oracle import TABLES, differences
@@ -32,7 +33,7 @@ def tables(at, value):
 
 
 @pytest.mark.parametrize("case", list(CASES))
-@pytest.mark.parametrize("name", ["residual_report"])
+@pytest.mark.parametrize("name", ["residual_report", "pitch_scalars"])
 def test_odd_values_give_the_rows_of_the_sql(spark, tmp_path, name, case):
     assert differences(spark, tables(tmp_path, CASES[case]), QUERIES[name], ORACLE[name]) is None
 
@@ -45,3 +46,13 @@ def test_residual_report_counts_zeros(spark):
     assert got["b"].median == 0 and got["b"].z == -math.inf and not got["b"].flagged
     none = agreement.residual_report(rows, base.where(F.col("value") < 0), "value", "s").collect()
     assert len(none) == 2 and all(r.z is None and r.flagged is None for r in none)
+
+
+def test_cents_of_zero_and_below(spark):
+    hz = spark.createDataFrame([(0, 0.0), (1, -1.0), (2, None), (3, 440.0), (4, math.inf)], "i int, hz double")
+    cents = s.hz_to_cents("hz")
+    got = {r.i: (r.c, r.f) for r in hz.select("i", cents.alias("c"), s.fold_octave(cents).alias("f")).collect()}
+    assert got[0][0] == -math.inf and math.isnan(got[0][1])
+    assert math.isnan(got[1][0]) and math.isnan(got[1][1])
+    assert got[2] == (None, None) and got[3] == (0.0, 0.0)
+    assert got[4][0] == math.inf and math.isnan(got[4][1])
