@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
-from ._words import rolling, word_hashes
+from ._words import all_word_hashes, rolling
 
 K, WINDOW, SHARE = 6, 16, 3
 SPANS = (44,)  # words from the first seed of a run to the last; 44 and a seed are 50 words
@@ -61,7 +61,7 @@ def _seeds(docs: DataFrame) -> DataFrame:
         for batch in batches:
             hs, ds, ats, size = [], [], [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                kmers = rolling(word_hashes(text), K)
+                kmers = rolling(all_word_hashes(text), K)
                 at = seeds_at(kmers)
                 if len(at):
                     hs.append(kmers[at].view(np.int64))
@@ -245,9 +245,8 @@ def _chain_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, px, py = (v[keep] for v in cols)
         edges = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0), [True]]))
         rows = []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
+        more = np.flatnonzero(np.diff(edges) > 1)  # pairs with one match are left
+        for lo, hi in zip(edges[more].tolist(), edges[more + 1].tolist(), strict=True):
             parts = chains(px[lo:hi], py[lo:hi])
             order = np.concatenate(parts) + lo
             rows.append((int(x[lo]), int(y[lo]), px[order], py[order], np.array([len(p) for p in parts], np.int32)))
@@ -277,42 +276,49 @@ def _common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
         return 0
     if len(a) == len(b) and (same := int((a == b).sum())) >= len(a) - 1:
         return same
-    a, b = a[np.isin(a, b)], b[np.isin(b, a)]  # other words are in no common subsequence
-    row = np.zeros(len(b) + 1, np.int64)
-    for w in a:
-        step = np.where(b == w, row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(step)
-    return int(row[-1])
+    places: dict[int, int] = {}
+    for i, w in enumerate(b.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    every = rest = (1 << len(b)) - 1  # a zero bit for each place of b where the length grows by one (Hyyro)
+    for w in a.tolist():
+        if at := rest & places.get(w, 0):
+            rest = (rest + at | rest - at) & every
+    return len(b) - rest.bit_count()
+
 
+AHEAD = 8  # words that an extension may skip at once
+#: Skips (words of a, of b) in the order in which they are tried.
+_SKIPS = [(p, q) for t in range(1, AHEAD + 1) for p, q in [(t, t), *((t, s) for s in range(t - 1, -1, -1)), *((s, t) for s in range(t - 1, -1, -1))]]
 
-def _extend(a: np.ndarray, b: np.ndarray, drop: int = DROP, ahead: int = 8) -> tuple[int, int, int]:
+
+def _extend(a: np.ndarray, b: np.ndarray, drop: int = DROP) -> tuple[int, int, int]:
     """How far a and b match from their starts: words of a, of b, and matching words. Runs of equal words score 1 each; a gap costs its longer side, and must be followed by two equal words."""
     i = j = score = matched = 0
     best = (0, 0, 0, 0)
-    while i < len(a) and j < len(b):
-        n = min(len(a) - i, len(b) - j)
+    la, lb = len(a), len(b)
+    while i < la and j < lb:
+        n = min(la - i, lb - j)
         at, run = 0, 64
         while at < n:
-            differ = np.flatnonzero(a[i + at : i + min(n, at + run)] != b[j + at : j + min(n, at + run)])
-            if len(differ):
-                at += int(differ[0])
+            end = min(n, at + run)
+            differ = a[i + at : i + end] != b[j + at : j + end]
+            if differ[first := int(differ.argmax())]:
+                at += first
                 break
-            at = min(n, at + run)
+            at = end
             run *= 4
         i, j, score, matched = i + at, j + at, score + at, matched + at
         if score > best[0]:
             best = (score, i, j, matched)
-        for t in range(1, ahead + 1):
-            skips = [(t, t), *((t, s) for s in range(t - 1, -1, -1)), *((s, t) for s in range(t - 1, -1, -1))]
-            hit = next(((p, q) for p, q in skips if i + p + 1 < len(a) and j + q + 1 < len(b) and a[i + p] == b[j + q] and a[i + p + 1] == b[j + q + 1]), None)
-            if hit:
-                break
-        else:
+        u, v = a[i : i + AHEAD + 2].tolist(), b[j : j + AHEAD + 2].tolist()
+        u, v = list(zip(u, u[1:])), list(zip(v, v[1:]))  # two words in a row
+        if set(u).isdisjoint(v):
             break
-        score -= t
+        p, q = next((p, q) for p, q in _SKIPS if p < len(u) and q < len(v) and u[p] == v[q])
+        score -= max(p, q)
         if score < best[0] - drop:
             break
-        i, j = i + hit[0], j + hit[1]
+        i, j = i + p, j + q
     return best[1], best[2], best[3]
 
 
@@ -342,6 +348,10 @@ def _runs(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, k: int
 def align(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, min_words: int, identity: float, k: int = K) -> list[tuple[int, int, int, int, int]]:
     """start and end in x, start and end in y, matching words of what one chain holds: all of it if it reaches `identity`, else its
     longest parts between runs that do, longest first and apart from each other."""
+    a, b, u, v = int(px[0]), int(px[-1]) + k, int(py[0]), int(py[-1]) + k
+    back, more = _extend(hx[:a][::-1], hy[:u][::-1]), _extend(hx[b:], hy[v:])
+    if b + more[0] - a + back[0] < min_words:  # most chains end here
+        return []
     sx, ex, sy, ey, before, upto = _runs(hx, hy, px, py, k)
 
     def extended(i: int, j: int, found: list[tuple[int, int, int, int, int]]) -> tuple[tuple[int, int, int, int, int], ...]:
@@ -357,11 +367,9 @@ def align(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, min_wo
     def same(g: tuple[int, int, int, int, int]) -> bool:
         return g[4] >= identity * max(g[1] - g[0], g[3] - g[2]) - 1e-9
 
-    whole = extended(0, len(sx) - 1, [])
-    if whole[0][1] - whole[0][0] < min_words:
-        return []
-    if same(whole[0]):
-        return [whole[0]]
+    whole = (a - back[0], b + more[0], u - back[1], v + more[1], int(upto[-1]) + back[2] + more[2])
+    if same(whole):
+        return [whole]
     # runs i to j reach the identity where ends[:, j] >= starts[:, i]; behind `reach` no end can
     starts = np.stack([before - identity * sx, before - identity * sy]) - 1e-9
     ends = np.stack([upto - identity * ex, upto - identity * ey])
@@ -404,10 +412,11 @@ def align(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, min_wo
     return found
 
 
-def _beside(hx: np.ndarray, hy: np.ndarray, px: int, py: int, reach: int) -> int:
-    """Equal words up to `reach` words before and behind a match, place by place."""
-    back, on = min(px, py, reach), min(len(hx) - px, len(hy) - py, reach)
-    return int((hx[px - back : px + on] == hy[py - back : py + on]).sum())
+def _beside(hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, reach: int) -> np.ndarray:
+    """Equal words up to `reach` words before and behind each match, place by place."""
+    no = np.zeros(reach, np.uint64)
+    near = np.arange(2 * reach)
+    return np.count_nonzero(np.concatenate([no, hx, no])[px[:, None] + near] == np.concatenate([~no, hy, ~no])[py[:, None] + near], axis=1)
 
 
 def outermost(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -429,7 +438,7 @@ def _aligned(min_words: int, identity: float):  # noqa: ANN202
             if doc in cache:
                 cache.move_to_end(doc)
                 return cache[doc]
-            cache[doc] = h = word_hashes(c.unzip([text])[0])
+            cache[doc] = h = all_word_hashes(c.unzip([text])[0])
             weight += len(h)
             while weight > 2_000_000 and len(cache) > 2:
                 weight -= len(cache.popitem(last=False)[1])
@@ -438,17 +447,19 @@ def _aligned(min_words: int, identity: float):  # noqa: ANN202
         names = ["doc_id", "start_word", "end_word", "source_doc_id", "source_start", "source_end", "matched_words"]
         for batch in batches:
             rows = []
-            texts = [batch.column(i).to_pylist() for i in (5, 6)]
-            for x, y, px, py, sizes, tx, ty in zip(*(batch.column(i).to_pylist() for i in range(5)), *texts, strict=True):
+            ax, ay = (batch.column(i).flatten().to_numpy() for i in (2, 3))  # the matches of all pairs
+            at = 0
+            for x, y, sizes, tx, ty in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6)), strict=True):
                 hx, hy = hashes(x, tx), hashes(y, ty)
                 found: list[tuple[int, int, int, int, int]] = []
-                at = 0
-                ax, ay = np.array(px), np.array(py)
-                for n in sizes:
-                    a, b = ax[at : at + n], ay[at : at + n]
-                    at += n
-                    if n <= 4 and a[-1] - a[0] < min_words // 2 and _beside(hx, hy, int(a[0]), int(b[0]), min_words) < 0.4 * min_words:
-                        continue
+                end = at + np.cumsum(sizes)
+                first, at = end - sizes, int(end[-1])
+                short = np.flatnonzero((np.array(sizes) <= 4) & (ax[end - 1] - ax[first] < min_words // 2))
+                tried = np.ones(len(end), bool)
+                for part in np.split(short, range(1000, len(short), 1000)):
+                    tried[part] = _beside(hx, hy, ax[first[part]], ay[first[part]], min_words) >= 0.4 * min_words
+                for i, j in zip(first[tried].tolist(), end[tried].tolist(), strict=True):
+                    a, b = ax[i:j], ay[i:j]
                     if any(s <= a[0] and a[-1] + K <= e and u <= b[0] and b[-1] + K <= v for s, e, u, v, _ in found):
                         continue  # an earlier chain's alignment holds this one
                     found += align(hx, hy, a, b, min_words, identity)
